@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+    from .store import shared_dir
+
+    folder = shared_dir(spark)
+    media.store_media(table(spark, sf_dir, "documents"), folder)
+    return media.read_media(spark, folder).withColumnRenamed("key", "doc_id").drop("payload")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
@@ -19,6 +28,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import shared_dir
+    from .warc import read_warc, write_warc
+
+    folder = shared_dir(spark)
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    read = read_warc(spark, folder, payloads=False)
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = globals()
     names = sorted((n for n in own if n.startswith("op") and n[2].isdigit()), key=lambda n: int(n[2:].split("_")[0]))
