@@ -21,6 +21,23 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(spark, folder).withColumnRenamed("key", "doc_id").drop("payload")
 
 
+def op5_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import read_shards, write_shards
+    from .store import shared_dir
+    from .tokens import default_tokenizer
+
+    folder = shared_dir(spark)
+    write_shards(table(spark, sf_dir, "documents"), folder, default_tokenizer())
+    return read_shards(spark, folder).withColumnRenamed("key", "doc_id")
+
+
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    from .tokens import default_tokenizer
+
+    return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
