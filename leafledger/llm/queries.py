@@ -21,6 +21,12 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(spark, folder).withColumnRenamed("key", "doc_id").drop("payload")
 
 
+def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op5_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import read_shards, write_shards
     from .store import shared_dir
