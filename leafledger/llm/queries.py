@@ -21,6 +21,14 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(spark, folder).withColumnRenamed("key", "doc_id").drop("payload")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(documents.withColumn("held_out", toxicity.held_out()), model, ["doc_id", "held_out"])
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
