@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, buffers, mix, slices
+from .text import Table, Words, buffers, slices
 
 ORDER = 6
 PER_CLASS = 3000
@@ -60,42 +60,6 @@ def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, np.searchsorted(w.offsets, place, "right") - 1
 
 
-class Table:
-    """Open-addressing map from 64-bit keys to float32."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(10, int(np.ceil(np.log2(max(1, len(keys)) * 2.2))))
-        self.mask = (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, 2**64 - 1, np.uint64), np.zeros(1 << bits, np.float32)
-        slot, rest = self._slot(keys), np.arange(len(keys))
-        while len(rest):
-            free = rest[self.keys[slot[rest]] == np.uint64(2**64 - 1)]
-            _, one = np.unique(slot[free], return_index=True)
-            put = free[one]
-            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
-            left = np.ones(len(keys), bool)
-            left[put] = False
-            rest = rest[left[rest]]
-            slot[rest] = slot[rest] + 1 & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.copy()) & np.uint64(self.mask)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Value of each key, 0 for unknown ones."""
-        slot = self._slot(keys)
-        here = self.keys[slot]
-        found = here == keys
-        rest = np.flatnonzero(~found & (here != np.uint64(2**64 - 1)))
-        while len(rest):
-            slot[rest] = slot[rest] + 1 & self.mask
-            here = self.keys[slot[rest]]
-            hit = here == keys[rest]
-            found[rest[hit]] = True
-            rest = rest[~hit & (here != np.uint64(2**64 - 1))]
-        return np.where(found, self.values[slot], np.float32(0))
-
-
 def _shared(grams: np.ndarray) -> np.ndarray:
     """Kneser-Ney probability of the last byte of each distinct n-gram given the bytes
     before it but the first, from continuation counts (distinct n-grams, both classes pooled)."""
