@@ -8,7 +8,7 @@ over both classes, so an expression that neither class knows says nothing.  The
 ratio of the two models is moved towards 0 by ``CAUTION`` standard errors of its
 counts, and a single byte can speak for "ordinary" with ``LEAST`` at most.  A text's
 evidence is the mean of these ratios over its word bytes; a logistic curve, fitted on
-evidence that each half of the training rows gets from the other half's counts, turns
+evidence that each of ``FOLDS`` folds of the training rows gets from the others' counts, turns
 it into a score.
 
 Only ``per_class`` labelled rows of each class at most are used for fitting (those with
@@ -37,6 +37,7 @@ PER_CLASS = 3000
 DISCOUNT = 0.75
 CAUTION = 1.5
 LEAST = -1.0
+FOLDS = 4
 
 
 def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +117,11 @@ class Model:
         p = 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -40, 40)))
         return np.where(empty, np.minimum(p, 0.49), p)
 
-    def calibrate(self, evidence: np.ndarray, label: np.ndarray) -> None:
-        """Logistic curve with balanced classes, by Newton steps with a small ridge."""
+    def calibrate(self, evidence: np.ndarray, label: np.ndarray, toxic_share: float) -> None:
+        """Logistic curve by Newton steps with a small ridge; classes weigh as often as they occur."""
         spread = float(evidence.std()) or 1.0
         x = np.stack((evidence / spread, np.ones(len(evidence))), 1)
-        weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+        weight = np.where(label == 1, toxic_share / max(1, (label == 1).sum()), (1 - toxic_share) / max(1, (label == 0).sum()))
         w = np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
@@ -134,7 +135,7 @@ class Model:
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """Documents of rows (text, toxic, fold) by n-gram, class (bit 56) and fold (bit 57)."""
+    """Documents of rows (text, toxic, fold) by n-gram, class (bit 56) and fold (from bit 57)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,16 +155,16 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "tagged long, n long").groupBy("tagged").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, per_class: int = PER_CLASS) -> Model | None:
+def fit(rows: DataFrame, toxic_share: float = 0.5, per_class: int = PER_CLASS) -> Model | None:
     """Fit on rows (id, text, toxic 0/1); None if a class has no rows.
 
-    Two folds: the curve is fitted on evidence from the other fold's counts, so that
-    training texts do not vouch for themselves.
+    The curve is fitted on evidence that each of ``FOLDS`` folds gets from the others'
+    counts, so that training texts do not vouch for themselves.
     """
     ids = []
     keyed = rows.where("toxic in (0, 1)").withColumn("h", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"))
     for label in (0, 1):
-        ids.append(keyed.where(F.col("toxic") == label).orderBy("h", "id").limit(per_class).select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod("h", F.lit(2)).cast("int").alias("fold")))
+        ids.append(keyed.where(F.col("toxic") == label).orderBy("h", "id").limit(per_class).select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")))
     chosen = ids[0].unionByName(ids[1]).persist()
     try:
         tagged = count_grams(chosen).toArrow()
@@ -177,8 +178,8 @@ def fit(rows: DataFrame, per_class: int = PER_CLASS) -> Model | None:
             return Model(u, np.bincount(inverse, weights=n[keep] * (label[keep] == 1)), np.bincount(inverse, weights=n[keep] * (label[keep] == 0)))
 
         sc, evidence, labels = rows.sparkSession.sparkContext, [], []
-        for f in (0, 1):
-            other = fold == 1 - f
+        for f in range(FOLDS):
+            other = fold != f
             if not ((label == 1) & other).any() or not ((label == 0) & other).any():
                 other = np.ones(len(fold), bool)
             part = sc.broadcast(model(other))
@@ -187,7 +188,7 @@ def fit(rows: DataFrame, per_class: int = PER_CLASS) -> Model | None:
             labels.append(got["toxic"].to_numpy())
             part.unpersist()
         whole = model(np.ones(len(fold), bool))
-        whole.calibrate(np.concatenate(evidence), np.concatenate(labels))
+        whole.calibrate(np.concatenate(evidence), np.concatenate(labels), toxic_share)
         return whole
     finally:
         chosen.unpersist()
@@ -222,6 +223,22 @@ def score_toxicity(df: DataFrame, model: Model | None, columns: list[str], text:
     return kept.mapInArrow(run, f"{schema}, score double, predicted int")
 
 
+def filter_toxic(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that the model does not call toxic."""
+    if model is None:
+        return df
+    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            empty, keep = np.diff(buffers(b.column(at))[1]) == 0, np.ones(b.num_rows, bool)
+            for i, e in sent.value.evidence(b.column(at)):
+                keep[i : i + len(e)] = sent.value.score(e, empty[i : i + len(e)]) < 0.5
+            yield b.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(key: str = "doc_id", folds: int = 5):
     """Column: whether a document is kept out of fitting."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
@@ -230,10 +247,11 @@ def held_out(key: str = "doc_id", folds: int = 5):
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
     """Fit on the labelled documents that are not held out."""
     marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("toxic")).where(~held_out("id"))
+    n = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     # choose by id first, so that only the chosen texts move
     chosen = None
     for y in (0, 1):
         part = marked.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    return fit(rows, per_class)
+    return fit(rows, n.get(1, 0) / max(1, sum(n.values())), per_class)
