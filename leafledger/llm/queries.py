@@ -89,10 +89,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = globals()
     names = sorted((n for n in own if n.startswith("op") and n[2].isdigit()), key=lambda n: int(n[2:].split("_")[0]))
-    return {n: own[n] for n in names}
+    return {"pipeline": pipeline, **{n: own[n] for n in names}}
 
 
 def oracle_sql() -> dict[str, str]:

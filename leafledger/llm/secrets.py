@@ -14,7 +14,6 @@ key and text columns are read, whatever others there are.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -128,10 +127,10 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", **setti
     return df.select(F.col(key), F.col(text)).mapInArrow(scan, schema)
 
 
-def redact(text: str, mask: str = "[SECRET]", **settings) -> str:
+def masked(text: str, spans: list[tuple[str, int, int]], mask: str = "[SECRET]") -> str:
     """``text`` with every span replaced; overlapping spans become one mask."""
     out, at = [], 0
-    for _, a, b in sorted(Scanner(**settings).spans(text)[1], key=lambda s: s[1:]):
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
         if b > at:
             if a >= at:
                 out += [text[at:a], mask]
@@ -139,5 +138,5 @@ def redact(text: str, mask: str = "[SECRET]", **settings) -> str:
     return "".join(out) + text[at:]
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def redact(text: str, mask: str = "[SECRET]", **settings) -> str:
+    return masked(text, Scanner(**settings).spans(text)[1], mask)
