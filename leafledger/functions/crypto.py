@@ -19,9 +19,12 @@ from ..errors import CryptoError
 
 def encrypt(text: Column, key: bytes, aad: Column | None = None) -> Column:
     sealed = F.aes_encrypt(text.cast("binary"), F.lit(_checked(key)), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), aad if aad is not None else F.lit(""))
-    n = F.octet_length(sealed)
-    moved = F.concat(F.substr(sealed, F.lit(1), F.lit(12)), F.substr(sealed, n - 15, F.lit(16)), F.substr(sealed, F.lit(13), n - 28))
-    return F.base64(moved)
+    # the random IV must be drawn once: a lambda's argument is computed a single time
+    def moved(x: Column) -> Column:
+        n = F.octet_length(x)
+        return F.base64(F.concat(F.substr(x, F.lit(1), F.lit(12)), F.substr(x, n - 15, F.lit(16)), F.substr(x, F.lit(13), n - 28)))
+
+    return F.get(F.transform(F.array(sealed), moved), F.lit(0))
 
 
 def decrypt(sealed: Column, key: bytes, aad: Column | None = None) -> Column:

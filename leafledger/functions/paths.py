@@ -45,6 +45,10 @@ def leaves(schema: T.StructType, prefix: tuple[str, ...] = ()) -> list[tuple[str
     return out
 
 
+def _elements(value: Column, names: Column) -> Column:
+    return F.transform(value, lambda v, i: F.struct(F.concat(names, F.array(i.cast("string"))).alias("path"), v.cast("string").alias("value")))
+
+
 def flatten_paths(df: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
     """One row (key, path array, value string) for each leaf; array elements get their index.
 
@@ -58,7 +62,7 @@ def flatten_paths(df: DataFrame, key: str, columns: list[str] | None = None) ->
             kind = kind[step].dataType
         value, names = get_by_path(F.col(f"`{path[0]}`"), list(path[1:])), F.array(*map(F.lit, path))
         if isinstance(kind, T.ArrayType):
-            listed.append(F.transform(value, lambda v, i, names=names: F.struct(F.concat(names, F.array(i.cast("string"))).alias("path"), v.cast("string").alias("value"))))
+            listed.append(_elements(value, names))
         else:
             scalar.append(F.struct(names.alias("path"), value.cast("string").alias("value")))
     parts = [F.array(*scalar)] if scalar else []
