@@ -84,7 +84,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # may have very many neighbours.
         low = now.groupBy("src").agg(F.min("dst").alias("m")).select((-F.col("src")).alias("v"), "m")
         large = now.withColumn("v", -F.col("dst")).join(low, "v", "left").select("src", F.coalesce("m", "dst").alias("dst"))
-        large = local_forest(large).distinct()
+        large = local_forest(large).distinct().checkpoint()  # read three times below
         # Small star: v and its smaller neighbours go to the smallest of them.
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         tied = low.select((-F.col("src")).alias("v"), "m")
