@@ -203,9 +203,9 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, left: np
     return out
 
 
-def confirmed_links(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """(src, dst) links of candidate groups; ``members`` has group, key, shingles, bands."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > block)
+def confirmed_links(members: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
+    """(src, dst) links of candidate groups; ``members`` has group, key, shingles, bands, ``groups`` group and key of the same rows."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > block)
     dealt = members.join(sizes, "group", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -256,7 +256,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     member = saved(member, f"{folder}/member")
     bitmap = df.sparkSession.sparkContext.broadcast(key_bitmap(member, "key"))
     members = candidate_sets(rows, k, bitmap).join(member, "key")
-    found = components(confirmed_links(members, percent, block))
+    found = components(confirmed_links(members, member, percent, block))
     # every class member follows its representative; every document its component
     of_rep = classes.join(found, F.col("rep") == F.col("vertex"), "left").select("set", F.coalesce("component", "rep").alias("component_id"))
     alone = F.concat(F.lit("empty:"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary")  # texts without shingles do not meet in one task
