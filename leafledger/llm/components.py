@@ -71,12 +71,17 @@ def local_forest(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").mapInArrow(_contract, "src long, dst long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, contracted: bool = False) -> DataFrame:
     """(vertex, component) for every vertex of ``edges`` (src, dst) but the smallest of each component.
 
-    ``component`` is the smallest vertex that can be reached.
+    ``component`` is the smallest vertex that can be reached.  ``contracted`` edges are forests
+    already and are not contracted by another Python worker of the task that makes them.
     """
-    now = local_forest(edges).where("src <> dst").distinct().checkpoint()
+    if contracted:
+        first = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    else:
+        first = local_forest(edges)
+    now = first.where("src <> dst").distinct().checkpoint()
     state = None
     for _ in range(rounds):
         # now has src > dst.  Large star: the larger neighbours of v go to the smallest neighbour of v, if that is

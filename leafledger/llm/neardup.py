@@ -256,7 +256,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     member = saved(member, f"{folder}/member")
     bitmap = df.sparkSession.sparkContext.broadcast(key_bitmap(member, "key"))
     members = candidate_sets(rows, k, bitmap).join(member, "key")
-    found = components(confirmed_links(members, member, percent, block))
+    found = components(confirmed_links(members, member, percent, block), contracted=True)
     # every class member follows its representative; every document its component
     of_rep = classes.join(found, F.col("rep") == F.col("vertex"), "left").select("set", F.coalesce("component", "rep").alias("component_id"))
     alone = F.concat(F.lit("empty:"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary")  # texts without shingles do not meet in one task
