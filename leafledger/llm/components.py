@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import lean
+
 
 class UnionFind:
     """Over the integers 0 .. n - 1; the root of a set is its smallest member."""
@@ -68,7 +70,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def local_forest(edges: DataFrame) -> DataFrame:
     """The same connectivity with fewer edges; columns src > dst."""
-    return edges.select("src", "dst").mapInArrow(_contract, "src long, dst long")
+    return edges.select("src", "dst").mapInArrow(lean(_contract), "src long, dst long")
 
 
 def components(edges: DataFrame, rounds: int = 60, contracted: bool = False) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import UnionFind, components, local_forest
 from .store import in_bitmap, key_bitmap, saved, shared_dir
-from .text import Words, buffers, mix, shingles, slices
+from .text import Words, buffers, lean, mix, shingles, slices
 
 BANDS, ROWS = 25, 5
 _M = BANDS * ROWS
@@ -128,7 +128,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
                     names=["key", "n_shingles", "set", "bands"],
                 )
 
-    return rows.mapInArrow(sign, _SIGNED)
+    return rows.mapInArrow(lean(sign), _SIGNED)
 
 
 def candidate_sets(rows: DataFrame, k: int, bitmap) -> DataFrame:
@@ -147,7 +147,7 @@ def candidate_sets(rows: DataFrame, k: int, bitmap) -> DataFrame:
                     names=["key", "shingles", "bands"],
                 )
 
-    return rows.where("key is not null").mapInArrow(pick, "key long, shingles binary, bands binary").dropDuplicates(["key"])
+    return rows.where("key is not null").mapInArrow(lean(pick), "key long, shingles binary, bands binary").dropDuplicates(["key"])
 
 
 def confirm(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -237,7 +237,7 @@ def confirmed_links(members: DataFrame, groups: DataFrame, percent: int, block:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["src", "dst"])
 
-    return dealt.mapInArrow(check, "src long, dst long")
+    return dealt.mapInArrow(lean(check), "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = 128) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import saved, shared_dir
+from .text import lean
 from .tokens import encoder
 
 SALTS = 64
@@ -199,7 +200,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(cut, _PIECE)
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(lean(cut), _PIECE)
 
 
 def pack(cut: DataFrame, capacity: int = 4096, **settings) -> DataFrame:
@@ -230,7 +231,7 @@ def pack(cut: DataFrame, capacity: int = 4096, **settings) -> DataFrame:
 
     w = Window.partitionBy("length", "salt").orderBy("key", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(w).cast("long"))
-    return ranked.mapInArrow(place, f"{_PIECE}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), f"{_PIECE}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", end_id: int = 1, **settings) -> DataFrame:

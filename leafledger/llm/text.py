@@ -7,7 +7,8 @@ polynomial over a slice of documents, without any Python object per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,26 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return p, q
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for ``mapInArrow``.  Workers wait for further tasks, beside those that work: at the end of a task they release what it held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (in place)."""
     h ^= h >> np.uint64(32)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Table, Words, buffers, slices
+from .text import Table, Words, buffers, lean, slices
 
 ORDER = 6
 PER_CLASS = 3000
@@ -152,7 +152,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 u, n = np.unique(tagged, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["tagged", "n"])
 
-    return rows.mapInArrow(count, "tagged long, n long").groupBy("tagged").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(count), "tagged long, n long").groupBy("tagged").agg(F.sum("n").alias("n"))
 
 
 def fit(rows: DataFrame, toxic_share: float = 0.5, per_class: int = PER_CLASS) -> Model | None:
@@ -200,7 +200,7 @@ def _evidence(rows: DataFrame, model) -> DataFrame:
             for i, e in model.value.evidence(b.column(0)):
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, len(e)), pa.array(e)], names=["toxic", "evidence"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, evidence double")
+    return rows.select("text", "toxic").mapInArrow(lean(run), "toxic int, evidence double")
 
 
 def score_toxicity(df: DataFrame, model: Model | None, columns: list[str], text: str = "text") -> DataFrame:
@@ -220,7 +220,7 @@ def score_toxicity(df: DataFrame, model: Model | None, columns: list[str], text:
                     [*(b.column(k).slice(i, len(e)) for k in range(1, b.num_columns)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*b.schema.names[1:], "score", "predicted"]
                 )
 
-    return kept.mapInArrow(run, f"{schema}, score double, predicted int")
+    return kept.mapInArrow(lean(run), f"{schema}, score double, predicted int")
 
 
 def filter_toxic(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -236,7 +236,7 @@ def filter_toxic(df: DataFrame, model: Model | None, text: str = "text") -> Data
                 keep[i : i + len(e)] = sent.value.score(e, empty[i : i + len(e)]) < 0.5
             yield b.filter(pa.array(keep))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def held_out(key: str = "doc_id", folds: int = 5):
