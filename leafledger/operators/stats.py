@@ -30,10 +30,9 @@ def eviction_candidates(entries: DataFrame, limit: int, threshold: float = 0.8)
     """
     score = F.col("last_access") * F.log(F.col("access_count") + 1)
     scored = entries.withColumn("score", score)
-    used = entries.agg(F.sum("size").alias("used"))
     clean = scored.where("not dirty")
-    low, high = clean.agg(F.min("score"), F.max("score")).first()
-    if low is None:
+    used, low, high = scored.agg(F.sum("size"), F.min(F.when(~F.col("dirty"), F.col("score"))), F.max(F.when(~F.col("dirty"), F.col("score")))).first()
+    if low is None or used is None or used <= threshold * limit:
         return clean.limit(0).select("key", "size", "score")
     width = max((high - low) / 1024, 1e-300)
     clean = clean.withColumn("bucket", F.floor((F.col("score") - low) / width).cast("int"))
@@ -41,7 +40,5 @@ def eviction_candidates(entries: DataFrame, limit: int, threshold: float = 0.8)
     # at most 1025 buckets
     before = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     inside = Window.partitionBy("bucket").orderBy("score", "key").rowsBetween(Window.unboundedPreceding, -1)
-    run = clean.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(before), "bucket").crossJoin(F.broadcast(used))
-    freed = F.col("before") + F.col("run")
-    need = F.col("used") - F.lit(0.8 * threshold * limit)
-    return run.where((F.col("used") > threshold * limit) & (freed < need)).select("key", "size", "score")
+    run = clean.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(before), "bucket")
+    return run.where(F.col("before") + F.col("run") < used - 0.8 * threshold * limit).select("key", "size", "score")
