@@ -4,12 +4,13 @@ Tokens are runs of non-space characters with a digit or an ``@``.  Labels: none,
 ip, card, phone.  Node potentials are a soft-max over shape and context features; chain
 potentials tie tokens that stand within ``NEAR`` words of each other; skip potentials
 tie a token to the last earlier token with the same digits or letters, however far
-away (also where one's digits end in the other's).  Loopy belief propagation runs over
-each document; tokens that a base pattern covers are clamped to its label, so evidence
-flows to repetitions that the pattern misses, such as a phone number without its
-country code.  A run of unclamped tokens becomes a span if every token has a label with
-a belief of ``BELIEF`` or more and one of them is tied by a skip potential to a token
-of that label.
+away (also where one's digits end in the other's), and to the last earlier such token
+that is clamped, or to the first later one if none is earlier.  Loopy belief propagation
+runs over each document; tokens that a base pattern covers are clamped to its label, so
+evidence flows to all repetitions that the pattern misses, such as a phone number
+without its country code.  A run of unclamped tokens becomes a span if every token has a
+label with a belief of ``BELIEF`` or more and one of them is tied to a clamped token by
+skip potentials over tokens of that label.
 
 The potentials are trained piecewise on at most ``SAMPLE`` documents that have tokens
 (those with the smallest hashes), labelled by the base patterns; statistics of other
@@ -89,6 +90,7 @@ class Tokens:
         keys: dict[str, int] = {}
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        named: list[tuple[int, set[str]]] = []
         before = ""
         for place, m in enumerate(_TOKEN.finditer(text)):
             word = m[0]
@@ -107,6 +109,7 @@ class Tokens:
                 for j in sorted({keys[n] for n in names if n in keys}):
                     self.skip.append((j, i))
                 keys.update((n, i) for n in names)
+                named.append((i, names))
             before = word
         self.clamp = [0] * len(self.spans)
         starts = [s for s, _ in self.spans]
@@ -117,6 +120,17 @@ class Tokens:
                     break
                 if self.spans[i][1] > a and not self.clamp[i]:
                     self.clamp[i] = 1 + KINDS.index(kind)
+        # a repetition is tied to a covered token itself, however many repetitions stand between
+        found: dict[tuple[int, str], int] = {}
+        for way in (named, named[::-1]) if base else ():
+            covered: dict[str, int] = {}
+            for i, names in way:
+                for n in names:
+                    if self.clamp[i]:
+                        covered[n] = i
+                    elif n in covered:
+                        found.setdefault((i, n), covered[n])
+        self.ties = sorted({(min(i, j), max(i, j)) for (i, _), j in found.items()} - set(self.skip))
 
 
 _WIDE = 24
@@ -147,12 +161,14 @@ class Field:
         node = np.array([self.node[f].sum(0) for f in t.features])
         clamp = np.array(t.clamp)
         # a token that no pattern covers is not evidence against one: only covered tokens are fixed
-        node[clamp > 0] = -30.0
+        # (by more than the messages of all repetitions of one)
+        node[clamp > 0] = -1e9
         node[clamp > 0, clamp[clamp > 0]] = 0.0
-        edges = t.chain + t.skip
+        skip = t.skip + t.ties
+        edges = t.chain + skip
         if edges:
             a, b = np.array(edges).T
-            pair = np.concatenate((np.repeat(self.chain[None], len(t.chain), 0), np.repeat(self.skip[None], len(t.skip), 0)))
+            pair = np.concatenate((np.repeat(self.chain[None], len(t.chain), 0), np.repeat(self.skip[None], len(skip), 0)))
             src, dst = np.concatenate((a, b)), np.concatenate((b, a))
             table = np.exp(np.concatenate((pair, pair.transpose(0, 2, 1))))
             back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
@@ -181,11 +197,14 @@ class Field:
         sure = (label > 0) & (p.max(1) >= BELIEF) & (np.array(t.clamp) == 0)
         if not sure.any():
             return []
-        tied = np.zeros(len(label), bool)
-        for a, b in t.skip:
-            if label[a] == label[b]:
-                tied[a] |= t.clamp[b] > 0
-                tied[b] |= t.clamp[a] > 0
+        tied = np.array(t.clamp) > 0
+        same = [(a, b) for a, b in sorted(t.skip + t.ties, key=lambda e: e[1]) if label[a] == label[b]]
+        more = True
+        while more:
+            before = tied.sum()
+            for a, b in same + same[::-1]:
+                tied[a] = tied[b] = tied[a] | tied[b]
+            more = tied.sum() > before
         out, i = [], 0
         while i < len(label):
             j = i + 1

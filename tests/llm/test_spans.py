@@ -118,6 +118,17 @@ def test_consistency_reaches_a_distant_repetition(spark):
     assert base == [("phone", 5, 18)] and spans == base + [("phone", a, a + 10)]
 
 
+def test_consistency_reaches_every_repetition(spark):
+    train = [f"call +1 (499) 555-{n} or mail u{n}@ex.org about order 77 on page {n % 9}, ip 10.0.{n % 99}.7" for n in range(1000, 1400)]
+    field = pii.train(train)
+    for before, after in ((0, 2), (2, 0), (1, 1), (3, 3), (40, 40)):
+        text = "call 4995556503 again " * before + "call +1 4995556503 please. " + ("word " * 50 + "call 4995556503 again ") * after
+        base, spans = field.spans(text)
+        assert len(base) == 1
+        plain = {m.span() for m in re.finditer("4995556503", text)} - {(base[0][2] - 10, base[0][2])}
+        assert len(plain) == before + after and set(spans) == {*base, *(("phone", *p) for p in plain)}, (before, after)
+
+
 def test_licenses(spark, sf, tmp_path):
     full = licenses.TEMPLATES["mit"]
     texts = docs.TEXTS + ["é " + full.replace("hereby", "therefore").upper() + " tail", "Released under the MIT License.\nmore", "Released under the License of MIT"]
