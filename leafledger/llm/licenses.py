@@ -4,10 +4,13 @@ Templates are cut into words (letters and digits, lower-cased); of every ``WINDO
 neighbouring hashes of ``GRAM`` words the smallest is a fingerprint.  An inverted index
 from fingerprint to (template, place) is sent to the tasks; its size is that of the
 template list.  All hashes of ``GRAM`` words of a text are looked up, so no occurrence
-of a fingerprint is lost.  Hits of a template near one diagonal make a candidate, and a
-banded alignment of template and text counts matched words.  A match of ``coverage`` of
-the template (all of it, if it has fewer than ``SHORT`` words) is reported with its
-span in code points.
+of a fingerprint is lost.  Hits of a template that follow each other in the template and
+in the text, no further apart there than the template is long, are chained; ``DRIFT``
+for each word put in or left out between two hits keeps a chain in one copy.  The
+longest common subsequence of template and the chain's surroundings (``BAND`` words more
+on both sides) counts matched words.  A match of ``coverage`` of the template is
+reported with its span in code points.  Templates of fewer than ``SHORT`` words must
+match wholly; there hits near one diagonal make a candidate, aligned within ``BAND``.
 
 Null and empty texts have no matches.  Overlapping reports of one template keep the
 better one; different templates may overlap.  Repeated rows give equal results.
@@ -15,6 +18,7 @@ better one; different templates may overlap.  Repeated rows give equal results.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .decontam import words_of
+from .decontam import lcs, tightest, words_of
 from .text import Table, buffers, mix, slices
 
-GRAM, WINDOW, BAND, SHORT = 3, 4, 8, 10
+GRAM, WINDOW, BAND, SHORT, DRIFT = 3, 4, 8, 10, 0.25
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
@@ -107,13 +111,59 @@ class Index:
         self.places = [places[int(k)] for k in keys]
         self.table = Table(keys, np.arange(1, len(keys) + 1, dtype=np.float32))
         self.words = [x.tolist() for x in self.words]
+        self.times = [Counter(x) for x in self.words]
 
-    def candidates(self, words: np.ndarray, hits: np.ndarray, which: np.ndarray) -> list[tuple[int, int]]:
-        """(template, where its first word would stand); hits within a band make one candidate."""
-        found: dict[int, list[int]] = {}
+    def hits(self, hits: np.ndarray, which: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """(place in the text, place in the template) of the hits of each template."""
+        found: dict[int, list[tuple[int, int]]] = {}
         for place, k in zip(hits.tolist(), which.tolist()):
             for t, at in self.places[k]:
-                found.setdefault(t, []).append(place - at)
+                found.setdefault(t, []).append((place, at))
+        return found
+
+    def chains(self, template: int, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Stretches of the text, each around a chain of hits; every hit is in one chain."""
+        size = len(self.words[template])
+        score, back, first = [], [], 0
+        for j, (place, at) in enumerate(hits):
+            while place - hits[first][0] > size + BAND:
+                first += 1
+            best, prior = float(GRAM), -1
+            for i in range(j - 1, first - 1, -1):
+                p, q = hits[i]
+                if q < at and p < place:
+                    drift = abs(place - at - p + q)
+                    s = score[i] + (min(GRAM, at - q) if drift else at - q) - DRIFT * drift
+                    if s > best:
+                        best, prior = s, i
+            score.append(best)
+            back.append(prior)
+        used, out = [False] * len(hits), []
+        for j in sorted(range(len(hits)), key=lambda j: -score[j]):
+            if used[j]:
+                continue
+            starts = []
+            while j >= 0 and not used[j]:
+                used[j] = True
+                starts.append(hits[j][0] - hits[j][1])
+                j = back[j]
+            out.append((max(0, min(starts) - BAND), max(starts) + size + BAND))
+        return sorted(set(out))
+
+    def near(self, template: int, text: list[int], lo: int, hi: int, coverage: float) -> tuple[int, int, int]:
+        """(matched words, first, last + 1 in ``text``) of a stretch, zeros if below ``coverage``."""
+        own, part = self.words[template], text[lo:hi]
+        if sum(self.times[template][x] for x in self.times[template].keys() & part) < coverage * len(own):
+            return 0, 0, 0
+        n = lcs(own, part)
+        if n < coverage * len(own):
+            return 0, 0, 0
+        a, z = tightest(own, part, n)
+        return n, lo + a, lo + z
+
+    def candidates(self, found: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+        """(template, where its first word would stand); hits within a band make one candidate."""
+        found = {t: [place - at for place, at in h] for t, h in found.items()}
         out = []
         for t, starts in found.items():
             last = None
@@ -155,8 +205,11 @@ class Index:
         if not len(hits):
             return []
         text, out = words.tolist(), {}
-        for t, s in self.candidates(words, hits, which[hits]):
-            n, a, b = self.align(t, text, s)
+        found = self.hits(hits, which[hits])
+        short = {t: h for t, h in found.items() if len(self.words[t]) < SHORT}
+        matches = [(t, self.align(t, text, s)) for t, s in self.candidates(short)]
+        matches += [(t, self.near(t, text, lo, hi, coverage)) for t, h in found.items() if t not in short for lo, hi in self.chains(t, h)]
+        for t, (n, a, b) in matches:
             size = len(self.words[t])
             if n >= coverage * size and (n == size or size >= SHORT):
                 rows = out.setdefault(t, [])

@@ -142,6 +142,25 @@ def test_licenses(spark, sf, tmp_path):
     assert op9_license_scan(spark, docs.write(spark, tmp_path / "c", [])).count() == 0
 
 
+def test_licenses_that_drift():
+    index, full = licenses.Index(licenses.TEMPLATES), licenses.TEMPLATES["mit"].split()
+    lines = [full[i : i + 9] for i in range(0, len(full), 9)]
+    half = len(full) // 2
+    put_in, left_out = full[:half] + "nine more words that no license text would hold".split() + full[half:], full[:half] + full[half + 14 :]
+    numbered, marked = ([w for k, line in enumerate(lines) for w in (mark(k), *line)] for mark in (lambda k: f"{k}:", lambda k: "dnl"))
+
+    def found(words):
+        w = licenses.words_of(*licenses.buffers(licenses.pa.array([" ".join(words)])))
+        return [(n, c) for name, a, b, n, c in index.find(w.hash, 0.8) if name == "mit"]
+
+    size = len(index.words[index.names.index("mit")])
+    for words in (put_in, numbered, marked):
+        assert found(words) == [(size, 1.0)]
+        assert len(found([*words, "and", "then", *words])) == 2
+    assert [c > 0.85 for _, c in found(left_out)] == [True]
+    assert not found(full[:half] + ["other"] * 3 + full[:half])
+
+
 @pytest.mark.parametrize("n", [1, 3, 4, 5, 40])
 def test_winnow_keeps_one_in_each_window(n):
     import numpy as np
