@@ -12,16 +12,18 @@ without its country code.  A run of unclamped tokens becomes a span if every tok
 label with a belief of ``BELIEF`` or more and one of them is tied to a clamped token by
 skip potentials over tokens of that label.
 
-The potentials are trained piecewise on at most ``SAMPLE`` documents that have tokens
-(those with the smallest hashes), labelled by the base patterns; statistics of other
-documents are not needed.  Every whole text is scanned.  Null texts are empty and have
-no spans; repeated rows give equal results; with no tokens in the sample only base
+The potentials are trained piecewise on all documents, labelled by the base patterns:
+tasks count tokens by features and label, and edges by the labels of their ends, and the
+driver fits to the sums (a row for each set of features and label).  Every whole text is
+scanned.  Null texts are empty and have no spans; repeated rows count as often as they
+occur and give equal results; with no tokens in any document only base
 spans are returned.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR, BELIEF, SAMPLE, ROUNDS = 3, 0.9, 2000, 6
+NEAR, BELIEF, ROUNDS = 3, 0.9, 6
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")  # a later start in the same digits fails like the first
@@ -225,28 +227,46 @@ class Field:
         return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if more else base
 
 
+_NODE, _CHAIN, _SKIP = range(3)
+
+
+def count(text: str, into: Counter) -> None:
+    """Adds (node, feature bits, label) of each token, and (chain or skip, label, label) of each edge."""
+    t = Tokens(text, base_spans(text))
+    for f, label in zip(t.features, t.clamp):
+        into[_NODE, sum(1 << k for k in set(f)), label] += 1
+    for kind, edges in ((_CHAIN, t.chain), (_SKIP, t.skip)):
+        for a, b in edges:
+            into[kind, t.clamp[a], t.clamp[b]] += 1
+
+
 def train(texts: list[str]) -> Field | None:
-    """Piecewise training: soft-max regression for nodes, pointwise mutual information for edges."""
-    labels, features, chain, skip = [], [], np.ones((5, 5)), np.ones((5, 5))
+    counts: Counter = Counter()
     for text in texts:
-        t = Tokens(text, base_spans(text))
-        labels += t.clamp
-        features += t.features
-        for table, edges in ((chain, t.chain), (skip, t.skip)):
-            for a, b in edges:
-                table[t.clamp[a], t.clamp[b]] += 1
-                table[t.clamp[b], t.clamp[a]] += 1
-    if not labels:
+        count(text, counts)
+    return fitted(counts)
+
+
+def fitted(counts: Counter) -> Field | None:
+    """Piecewise training: soft-max regression for nodes, pointwise mutual information for edges."""
+    rows, chain, skip = [], np.ones((5, 5)), np.ones((5, 5))
+    for (kind, a, b), n in sorted(counts.items()):
+        if kind == _NODE:
+            rows.append((a, b, n))
+        else:
+            table = chain if kind == _CHAIN else skip
+            table[a, b] += n
+            table[b, a] += n
+    if not rows:
         return None
-    x = np.zeros((len(labels), _WIDE))
-    for i, f in enumerate(features):
-        x[i, f] = 1
-    y = np.eye(5)[labels]
+    bits, labels, many = (np.array(c) for c in zip(*rows))
+    x = (bits[:, None] >> np.arange(_WIDE) & 1).astype(float)
+    y, share = np.eye(5)[labels], (many / many.sum())[:, None]
     w, speed = np.zeros((_WIDE, 5)), np.full((_WIDE, 5), 1e-6)
     for _ in range(200):
         s = x @ w
         p = np.exp(s - s.max(1, keepdims=True))
-        g = x.T @ (p / p.sum(1, keepdims=True) - y) / len(x) + 1e-4 * w
+        g = x.T @ (share * (p / p.sum(1, keepdims=True) - y)) + 1e-4 * w
         speed += g * g
         w -= 0.5 * g / np.sqrt(speed)
 
@@ -257,14 +277,20 @@ def train(texts: list[str]) -> Field | None:
     return Field(w, potential(chain), potential(skip))
 
 
-def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field | None:
-    """Train on a bounded sample of the documents that have tokens."""
-    some = df.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    # the hashes choose first, so that only chosen texts are sorted and sent
-    limit = some.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if limit is None:
-        return None
-    return train([r[0] for r in some.where(F.col("h") <= limit).select("text").distinct().orderBy("text").limit(sample).collect()])
+def fit(df: DataFrame, text: str = "text") -> Field | None:
+    """Train on the counts over all documents that have tokens."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                count(value.as_py(), counts)
+        rows = [(*k, n) for k, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], names=["kind", "a", "b", "n"])
+
+    some = df.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("text"))
+    got = some.mapInArrow(sums, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n")).collect()  # a row for each set of features and label
+    return fitted(Counter({(r[0], r[1], r[2]): r[3] for r in got}))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

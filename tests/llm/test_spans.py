@@ -129,6 +129,14 @@ def test_consistency_reaches_every_repetition(spark):
         assert len(plain) == before + after and set(spans) == {*base, *(("phone", *p) for p in plain)}, (before, after)
 
 
+def test_potentials_come_from_all_documents(spark):
+    import numpy as np
+
+    texts = [f"order {n} of {n % 7} on page {n % 9}, phone +49 170 1{n:06d}" for n in range(2500)] + ["card 4845168114407329, again 4845168114407329"]
+    got, want = pii.fit(docs.frame(spark, texts)), pii.train(texts)
+    assert all(np.allclose(a, b) for a, b in ((got.node, want.node), (got.chain, want.chain), (got.skip, want.skip)))
+
+
 def test_licenses(spark, sf, tmp_path):
     full = licenses.TEMPLATES["mit"]
     texts = docs.TEXTS + ["é " + full.replace("hereby", "therefore").upper() + " tail", "Released under the MIT License.\nmore", "Released under the License of MIT"]
