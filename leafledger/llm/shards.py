@@ -15,7 +15,9 @@ first document.  A lookup reads a constant number of places.  A manifest with ea
 shard's key range routes a key to its shard.
 
 Null texts are documents with the end id alone.  Rows with equal keys stand side by
-side in order of their texts' hashes; the index leads to the first of them.
+side in order of their texts' hashes; the index of a shard leads to the first of them
+there.  Keys may take the whole range of 64-bit integers, and a key that many rows have is
+spread over several shards (``ranges.py``).
 """
 
 from __future__ import annotations
@@ -31,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranges import deal_by_key
-from .store import filesystem
+from .ranges import find_cuts, with_shard
+from .store import filesystem, remove_unfinished, saved, shared_dir
 from .text import mix
 from .tokens import encoder
 
 MAGIC = b"LLIDS001"
-SHARD_BYTES = 128 << 20
 _ENTRY = "shard int, file string, docs long, nulls long, ids long, first_key long, last_key long"
 _ENTRY_PA = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("nulls", pa.int64()), ("ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
 
@@ -169,11 +170,13 @@ class Shard:
         return self.ids(k, k + 1) if k >= 0 and self.keys[k] == key else None
 
 
-def write_shards(df: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> list[dict]:
+def write_shards(df: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, shard_bytes: int | None = None) -> list[dict]:
     """Tokenize and write all rows; return the manifest's entries, in key order."""
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt, _ = deal_by_key(rows, "key", F.col("text"), shard_bytes)
-    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), F.xxhash64("text"))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    sizes = rows.select("key", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("size"))
+    cuts = find_cuts(saved(sizes, shared_dir(df.sparkSession)), shard_bytes)
+    dealt = with_shard(rows, cuts).repartitionById(cuts.shards, F.col("shard"))
+    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "tie").select("key", "text", "shard")
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
 
@@ -203,6 +206,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, key: str = "doc_id"
     with fs.open_output_stream(temp) as f:
         f.write(json.dumps(entries).encode())
     fs.move(temp, f"{root}/manifest.json")
+    remove_unfinished(fs, root)
     return entries
 
 
@@ -218,11 +222,11 @@ class TokenStore:
     def __init__(self, folder: str):
         self.fs, self.root = filesystem(folder)
         self.entries = [e for e in manifest(folder) if e["first_key"] is not None]
-        self.lows, self.open = [e["first_key"] for e in self.entries], {}
+        self.highs, self.open = [e["last_key"] for e in self.entries], {}
 
     def get(self, key: int) -> np.ndarray | None:
-        k = bisect.bisect_right(self.lows, key) - 1
-        if k < 0 or key > self.entries[k]["last_key"]:
+        k = bisect.bisect_left(self.highs, key)  # the first shard that may hold it
+        if k == len(self.entries) or key < self.entries[k]["first_key"]:
             return None
         name = self.entries[k]["file"]
         if name not in self.open:

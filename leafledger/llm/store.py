@@ -17,12 +17,14 @@ _OWN: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where neither that setting nor a checkpoint folder exists (tests) is a
-    temporary folder of this machine taken.
+    Only where neither that setting nor a checkpoint folder exists and the session runs
+    on this machine alone (tests) is a temporary folder of it taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafledger-"))
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -62,6 +64,15 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def remove_unfinished(fs, root: str) -> None:
+    """Delete what broken attempts left under temporary names, once a manifest is in place."""
+    from pyarrow import fs as pafs
+
+    for f in fs.get_file_info(pafs.FileSelector(root)):
+        if f.base_name.startswith("_tmp-") and f.type == pafs.FileType.File:
+            fs.delete_file(f.path)
+
+
 def bit_of(key, bits: int = BITMAP_BITS):
     """Column: the bit of a 64-bit key."""
     return F.pmod(key, F.lit(bits))

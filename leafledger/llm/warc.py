@@ -1,16 +1,20 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-partitioned and sorted by key; every partition writes gzip files
-that are rolled by compressed size.  File names, headers and bytes depend on the input
-alone, so an attempt that is run again writes the same file: it goes to a temporary
-name first and is then renamed.  A manifest, renamed into place last, commits the
-archive; readers look only at the files that it lists.
+Records are dealt to shards by runs of (key, payload hash) with about equal bytes
+(``ranges.py``) and sorted; every partition writes gzip files that are rolled by
+compressed size.  File names, headers and bytes depend on the input alone, so an attempt
+that is run again writes the same file: it goes to a temporary name first and is then
+renamed.  A manifest, renamed into place last, commits the archive; readers look only at
+the files that it lists, and left-overs of broken attempts are deleted then.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, that with the largest
-key is the response and the others are revisits without a body.  Null payloads are
-empty; a null key sorts first and is never a revisit; rows with the same key and the
-same payload are all responses when that key is the largest.  An empty table gives an
-archive without files.
+key is the response, an HTTP message, and the others are revisits without a body.  Null payloads are empty; a null key sorts first and is
+never a revisit; rows with the same key and the same payload are all responses when that
+key is the largest.  Keys may take the whole range of 64-bit integers.  Record ids name
+key, payload digest and a running number of such rows, so repeated rows have different
+ids; a revisit refers to number 0.  If rows equal in key and payload fill more than a
+shard, which of them goes to which shard follows from their places in the input.  An
+empty table gives an archive without files.
 """
 
 from __future__ import annotations
@@ -25,42 +29,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import filesystem
+from .ranges import find_cuts, with_interval, with_shard
+from .store import filesystem, remove_unfinished, saved, shared_dir
 from .text import buffers
 
-CELLS = 4096
-SHARD_BYTES = 256 << 20
-_FACTS = "key long, n long, digest binary"
 _ENTRY = "file string, records long, bytes long, first_key long, last_key long, sha1 string"
 _READ = "key long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, at = buffers(b.column(1))
-        view = memoryview(data)
-        sha = [hashlib.sha1(view[at[i] : at[i + 1]]).digest() for i in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at[1:] - at[:-1]), pa.array(sha, pa.binary())], names=["key", "n", "digest"])
+def _record_id(key, digest: str, number: str) -> str:
+    return f"<urn:x-page:{'' if key is None else key}:{digest}:{number}>"
 
 
-def _record(key, url: str, payload: memoryview, digest: bytes, target, date: str) -> bytes:
+def _record(key, url: str, payload: memoryview, digest: str, number: str, target, date: str) -> bytes:
     """The bytes of one record, headers made anew."""
-    body = b"" if target is not None else payload
+    block = b""
+    if target is None:
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + bytes(payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if target is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:x-record:{'' if key is None else key}>",
+        f"WARC-Record-ID: {_record_id(key, digest, number)}",
         f"WARC-Date: {date}",
         "WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url),
-        f"WARC-Payload-Digest: sha1:{digest.hex()}",
-        f"WARC-Block-Digest: sha1:{(digest if target is None else hashlib.sha1(b'').digest()).hex()}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}",
         f"X-Payload-Length: {len(payload)}",
-        "Content-Type: text/html",
+        "Content-Type: application/http; msgtype=response",
     ]
     if target is not None:
-        head += [f"WARC-Refers-To: <urn:x-record:{target}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head.append(f"Content-Length: {len(body)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + bytes(body) + b"\r\n\r\n"
+        head += [f"WARC-Refers-To: {_record_id(target, digest, '0')}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    head.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 class _File:
@@ -69,7 +69,7 @@ class _File:
     def __init__(self, folder: str, name: str):
         self.fs, root = filesystem(folder)
         self.name, self.final, self.temp = name, f"{root}/{name}", f"{root}/_tmp-{uuid.uuid4().hex}-{name}"
-        self.out, self.size, self.records, self.sha1 = self.fs.open_output_stream(self.temp), 0, 0, hashlib.sha1()
+        self.out, self.size, self.records, self.sha1 = self.fs.open_output_stream(self.temp, compression=None), 0, 0, hashlib.sha1()
         self.first = self.last = None
 
     def add(self, key, record: bytes) -> None:
@@ -90,56 +90,46 @@ class _File:
 
 def write_warc(
     df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html",
-    min_revisit: int = 1000, file_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z",
+    min_revisit: int = 1000, file_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z", shard_bytes: int | None = None,
 ) -> list[dict]:
     """Write the archive below ``folder``; return the manifest's entries (one for each file)."""
-    spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.col(payload).alias("payload"))
-    facts = rows.select("key", "payload").mapInArrow(_facts, _FACTS).where(F.col("n") >= min_revisit).select("key", "digest")
-    groups = facts.groupBy("digest").agg(F.max("key").alias("target"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    marks = facts.join(groups, "digest").where("key <> target").distinct()
-
-    low, high, total, size = rows.agg(F.min("key"), F.max("key"), F.count("*"), F.sum(F.octet_length("payload"))).first()
-    width = max(1, ((high or 0) - (low or 0) + CELLS) // CELLS)
-    cell = F.coalesce(F.expr(f"(key - {low or 0}L) div {width}L"), F.lit(-1)).cast("int")
-    # at most CELLS + 1 rows, whatever the input: shards are runs of cells of about equal counts
-    counts = sorted((r[0], r[1]) for r in rows.groupBy(cell.alias("cell")).count().collect())
-    shards = max(1, min(CELLS, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // SHARD_BYTES))))
-    seen, shard_of = 0, []
-    for c, n in counts:
-        shard_of.append((c, min(shards - 1, seen * shards // max(1, total))))
-        seen += n
-    cells = spark.createDataFrame(shard_of, "cell int, shard int")
-
-    both = rows.withColumn("digest", F.lit(None).cast("binary")).withColumn("target", F.lit(None).cast("long")).withColumn("mark", F.lit(False)).unionByName(
-        marks.withColumn("mark", F.lit(True)), allowMissingColumns=True
-    )
-    dealt = both.withColumn("cell", cell).join(F.broadcast(cells), "cell").drop("cell").repartitionById(shards, F.col("shard"))
-    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), F.col("mark").desc(), F.xxhash64("url", "payload"))
+    work = shared_dir(df.sparkSession)
+    body = F.coalesce(F.col(payload).cast("binary"), F.lit(bytearray()))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
+    rows = rows.withColumn("tie", F.xxhash64("digest"))
+    facts = saved(rows.select("key", "tie", "digest", F.octet_length("payload").cast("long").alias("n")), f"{work}/facts")
+    large = facts.where(F.col("n") >= min_revisit).select("key", "tie", "digest")
+    groups = saved(large.groupBy("digest").agg(F.max("key").alias("target"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), f"{work}/groups")
+    marks = large.join(groups, "digest").where("key <> target").distinct()
+    cuts = find_cuts(facts.select("key", "tie", (F.col("n") + 512).alias("size")), shard_bytes)
+    marks = with_interval(marks, cuts).withColumn("shard", F.explode(F.sequence("first", F.col("first") + F.col("width") - 1))).drop("width")
+    both = with_shard(rows, cuts).withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)), allowMissingColumns=True)
+    dealt = both.repartitionById(cuts.shards, F.col("shard"))
+    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "tie", "digest", F.col("mark").desc(), F.xxhash64("url"))
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, entries, shard, roll, at, targets = None, [], None, 0, None, {}
+        file, entries, shard, roll, at, number, to = None, [], None, 0, None, 0, None
         for b in batches:
             data, offsets = buffers(b.column(b.schema.names.index("payload")))
             view = memoryview(data)
-            keys, urls, digests, into, mark, part = (b.column(b.schema.names.index(c)).to_pylist() for c in ("key", "url", "digest", "target", "mark", "shard"))
+            keys, urls, digests, into, mark, first, part = (b.column(b.schema.names.index(c)).to_pylist() for c in ("key", "url", "digest", "target", "mark", "first", "shard"))
             for i in range(b.num_rows):
                 if part[i] != shard:
                     if file:
                         entries.append(file.commit())
-                    file, shard, roll = None, part[i], 0
-                if keys[i] != at:
-                    at, targets = keys[i], {}
+                    file, shard, roll, at = None, part[i], 0, None
+                if (keys[i], digests[i]) != at:
+                    at, number, to = (keys[i], digests[i]), 0, None
                 if mark[i]:
-                    targets[digests[i]] = into[i]
+                    to = into[i]
                     continue
                 if file is None:
-                    file = _File(folder, f"part-{shard:05d}-{roll:05d}.warc.gz")
-                body = view[offsets[i] : offsets[i + 1]]
-                sha = hashlib.sha1(body).digest()
-                file.add(keys[i], _record(keys[i], urls[i] or "", body, sha, targets.get(sha), date))
+                    file = _File(folder, f"part-{shard:06d}-{roll:05d}.warc.gz")
+                named = str(number) if shard == first[i] else f"{shard - first[i]}.{number}"
+                file.add(keys[i], _record(keys[i], urls[i] or "", view[offsets[i] : offsets[i + 1]], digests[i].hex(), named, to, date))
+                number += 1
                 if file.size >= file_bytes:
                     entries.append(file.commit())
                     file, roll = None, roll + 1
@@ -153,6 +143,7 @@ def write_warc(
     with fs.open_output_stream(temp) as out:
         out.write("".join(json.dumps(e, sort_keys=True) + "\n" for e in entries).encode())
     fs.move(temp, f"{root}/manifest.json")
+    remove_unfinished(fs, root)
     return entries
 
 
@@ -186,15 +177,18 @@ def parse(record: bytes) -> dict:
         raise ValueError("not a WARC record")
     field = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
     length = int(field["Content-Length"])
-    body = rest[:length]
+    block = rest[:length]
     if rest[length:] != b"\r\n\r\n":
         raise ValueError("bad record length")
+    if f"sha1:{hashlib.sha1(block).hexdigest()}" != field["WARC-Block-Digest"]:
+        raise ValueError("block digest differs")
     kind, digest = field["WARC-Type"], field["WARC-Payload-Digest"].removeprefix("sha1:")
+    body = block.partition(b"\r\n\r\n")[2]
     if kind == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != int(field["X-Payload-Length"])):
         raise ValueError("payload digest differs")
-    number = lambda s: int(x) if (x := s.removeprefix("<urn:x-record:").rstrip(">")) else None
+    number = lambda s: int(x) if (x := s.split(":")[2]) else None
     return {
-        "key": number(field["WARC-Record-ID"]), "url": field["WARC-Target-URI"], "record_type": kind, "payload_bytes": int(field["X-Payload-Length"]),
+        "id": field["WARC-Record-ID"], "key": number(field["WARC-Record-ID"]), "url": field["WARC-Target-URI"], "record_type": kind, "payload_bytes": int(field["X-Payload-Length"]),
         "payload_digest": digest, "refers_to": number(field["WARC-Refers-To"]) if "WARC-Refers-To" in field else None, "payload": body if kind == "response" else None,
     }
 
@@ -211,7 +205,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
         for b in batches:
             for name in b.column(1).to_pylist():
                 rows, held = [], 0
-                with fs.open_input_stream(f"{root}/{name}") as stream:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for record in members(stream):
                         rows.append(parse(record))
                         held += len(record) if payloads else 200

@@ -109,3 +109,35 @@ def test_truncated_file_is_found(tmp_path):
     z = gzip.compress(b"a" * 1000)
     with pytest.raises(ValueError):
         list(warc.members(io.BytesIO(z[:-10])))
+
+
+def test_warc_wide_and_hot_ids(spark, tmp_path):
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, "a" * 1500), (high, "a" * 1500), (0, "a" * 1500), (-7 * 10**18, "b"), (7 * 10**18, "c" * 2000), (None, "c" * 2000)]
+    rows += [(42, f"{i} " * 400) for i in range(60)] + [(42, "same " * 300)] * 60 + [(high, "same " * 300)]
+    df = spark.read.parquet(pages(spark, tmp_path, rows) + "/pages.parquet")
+    entries = warc.write_warc(df, f"file://{tmp_path}/w", shard_bytes=10_000)
+    got = warc.read_warc(spark, f"file://{tmp_path}/w", payloads=False)
+    assert sorted((tuple(r) for r in got.select("key", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == pages_oracle(rows)
+    assert max(e["records"] for e in entries) < 40
+    ids = []
+    for e in entries:
+        with open(f"{tmp_path}/w/{e['file']}", "rb") as f:
+            ids += [warc.parse(m)["id"] for m in warc.members(f)]
+    assert len(set(ids)) == len(ids) == len(rows)
+
+
+def test_warc_leftovers_go(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "_tmp-broken").write_bytes(b"x")
+    warc.write_warc(spark.read.parquet(pages(spark, tmp_path, [(1, "a")]) + "/pages.parquet"), f"file://{tmp_path}/w")
+    assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_tmp-")]
+
+
+def test_warc_file_is_gzip_of_http_responses(spark, tmp_path):
+    import gzip
+
+    (e,) = warc.write_warc(spark.read.parquet(pages(spark, tmp_path, [(5, "<p>é</p>")]) + "/pages.parquet"), f"file://{tmp_path}/w")
+    with gzip.open(f"{tmp_path}/w/{e['file']}") as f:
+        head, http, body, end = f.read().split(b"\r\n\r\n", 3)
+    assert head.startswith(b"WARC/1.1\r\n") and http.startswith(b"HTTP/1.1 200 OK\r\n") and body.decode() == "<p>é</p>" and end == b""

@@ -140,3 +140,27 @@ def test_nnls_is_optimal():
     x = packing.nnls(a, b)
     g = a.T @ (b - a @ x)
     assert (x >= 0).all() and g.max() < 1e-6 and abs(g[x > 0]).max() < 1e-6
+
+
+def test_index_with_wide_and_hot_ids(spark, tmp_path):
+    rows = [(-(2**63), "a"), (2**63 - 1, "b"), (-7 * 10**18, "c"), (7 * 10**18, "d"), (0, "e"), (None, "f")]
+    rows += [(42, f"hot {i} " * 50) for i in range(80)] + [(43, "equal " * 80)] * 80
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    entries = shards.write_shards(df, f"file://{tmp_path}", default_tokenizer(), shard_bytes=4_000)
+    assert sum(e["docs"] for e in entries) == len(rows) and max(e["docs"] for e in entries) < 30
+    got = shards.read_shards(spark, f"file://{tmp_path}").orderBy("start").collect()
+    keys = [r.key for r in got]
+    assert keys[0] is None and keys[1:] == sorted(r[0] for r in rows if r[0] is not None)
+    assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((len(ids_of(t)), crc(ids_of(t))) for _, t in rows)
+    assert [r.start for r in got] == np.concatenate(([0], np.cumsum([r.n_tokens for r in got])[:-1])).tolist()
+    store = shards.TokenStore(f"file://{tmp_path}")
+    assert all(store.get(k).tolist() == ids_of(t) for k, t in rows if k not in (None, 42)) and store.get(42).tolist() in [ids_of(t) for k, t in rows if k == 42]
+    assert store.get(41) is None
+
+
+def test_dealing_depends_on_rows_alone(spark):
+    from leafledger.llm import ranges
+
+    rows = [(i * 7919 % 1000, i, 100 + i % 50) for i in range(3000)]
+    a, b = (ranges.find_cuts(spark.createDataFrame(rows, "key long, tie long, size long").repartition(n), 5_000) for n in (2, 7))
+    assert (a.begin == b.begin).all() and (a.first == b.first).all() and a.shards > 30
