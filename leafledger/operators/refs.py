@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import kept
+from .keys import same
 from .select import ID
 
 
@@ -14,8 +16,9 @@ def populate(df: DataFrame, field: str, other: DataFrame, key: str = ID) -> Data
     if field not in df.columns:
         raise KeyError(f"no reference field {field!r}")
     # a null id joins nothing; a table of ids with repetitions would multiply rows
-    side = other.select(F.col(f"`{key}`").alias("_ref"), F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias("_doc"))
-    joined = df.join(side, df[f"`{field}`"] == side["_ref"], "left")
+    mine, theirs = same(df, field, other, key)
+    side = other.select(theirs.alias("_ref"), F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias("_doc"))
+    joined = df.join(side, mine == side["_ref"], "left")
     return joined.select(*[F.col("_doc").alias(c) if c == field else df[f"`{c}`"] for c in df.columns])
 
 
@@ -26,9 +29,12 @@ def populate_all(df: DataFrame, fields: dict[str, DataFrame], key: str = ID) ->
     return df
 
 
-def populate_array(df: DataFrame, field: str, other: DataFrame, row_key: str = ID, key: str = ID) -> DataFrame:
-    """An array of ids becomes an array of documents: order and repetitions stay, dangling ids are null."""
-    side = other.select(F.col(f"`{key}`").alias("_ref"), F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias("_doc"))
+def populate_array(df: DataFrame, field: str, other: DataFrame, row_key: str = ID, key: str = ID, fields: list[str] | None = None) -> DataFrame:
+    """An array of ids becomes an array of documents: order and repetitions stay, dangling ids are null.
+
+    Only the ``fields`` of the documents (all by default) are read and moved.
+    """
+    side = other.select(F.col(f"`{key}`").alias("_ref"), F.struct(*[F.col(f"`{c}`") for c in fields or other.columns]).alias("_doc"))
     slots = df.select(F.col(f"`{row_key}`").alias("_row"), F.posexplode(F.col(f"`{field}`")).alias("_pos", "_want"))
     found = slots.join(side, slots["_want"] == side["_ref"], "left")
     lists = found.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_doc"))), lambda x: x["_doc"]).alias("_docs"))
@@ -54,8 +60,9 @@ def strip_refs(df: DataFrame) -> DataFrame:
 
 def children(df: DataFrame, field: str, parents: DataFrame, key: str = ID) -> DataFrame:
     """Rows that refer to one of ``parents``."""
-    p = parents.select(F.col(f"`{key}`").alias("_parent"))
-    return df.join(p, df[f"`{field}`"] == p["_parent"], "left_semi")
+    mine, theirs = same(df, field, parents, key)
+    p = parents.select(theirs.alias("_parent"))
+    return df.join(p, mine == p["_parent"], "left_semi")
 
 
 def cascade(parents: DataFrame, df: DataFrame, field: str, gone: DataFrame, key: str = ID) -> tuple[DataFrame, DataFrame]:
@@ -72,15 +79,14 @@ def find_paths(edges: list[DataFrame]) -> DataFrame:
     return out
 
 
-def walk(edges: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
-    """(vertex, hops) reached from ``start`` by breadth-first frontier joins, shortest first."""
+def walk(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(vertex, hops) reached from ``start`` by breadth-first frontier joins, shortest first; within ``depth`` hops if that is given."""
     seen = start.select(F.col(start.columns[0]).alias("vertex"), F.lit(0).alias("hops")).distinct()
-    frontier = seen
-    for hop in range(1, depth + 1):
+    frontier, hop = seen, 0
+    while depth is None or hop < depth:
+        hop += 1
         step = frontier.join(edges, frontier["vertex"] == edges["src"]).select(F.col("dst").alias("vertex")).distinct()
-        frontier = step.join(seen, "vertex", "left_anti").withColumn("hops", F.lit(hop))
-        if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            frontier = frontier.checkpoint()
+        frontier = kept(edges.sparkSession, step.join(seen, "vertex", "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

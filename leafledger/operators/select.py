@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidSelector
 from ..functions.names import check_id
+from . import keys
 
 ID = "$ID"
 
@@ -83,23 +84,30 @@ def get_by_id(df: DataFrame, code: str, key: str | dict) -> DataFrame:
         if ID not in key:
             raise InvalidSelector("an object selector needs $ID")
         rest = {k: v for k, v in key.items() if k != ID}
-        return where(df.where(F.col(f"`{ID}`") == check_id(code, key[ID])), rest or None)
-    return df.where(F.col(f"`{ID}`") == check_id(code, key))
+        return where(df.where(keys.is_id(df, ID, [check_id(code, key[ID])])), rest or None)
+    return df.where(keys.is_id(df, ID, [check_id(code, key)]))
 
 
-def get_by_ids(df: DataFrame, code: str, keys: list[str]) -> DataFrame:
-    """A row for each slot of ``keys``, in order (column ``slot``): repetitions stay, unknown ids are null rows."""
-    if not isinstance(keys, (list, tuple)):
+def get_any_type(collections: dict[str, DataFrame], key: str) -> DataFrame | None:
+    """The row of an id of any type: the id's code says which of the collections (by code) to look at; None if it is of none of them."""
+    code = key.removeprefix("X:").partition("_")[0]
+    df = collections.get(code)
+    return None if df is None else df.where(keys.is_id(df, ID, [key]))
+
+
+def get_by_ids(df: DataFrame, code: str, wanted: list[str]) -> DataFrame:
+    """A row for each slot of ``wanted``, in order (column ``slot``): repetitions stay, unknown ids are null rows."""
+    if not isinstance(wanted, (list, tuple)):
         raise InvalidSelector("a list of ids is needed")
-    full = [k if k.startswith(f"{code}_") else f"{code}_{k}" for k in keys]
+    full = [k if k.startswith(f"{code}_") else f"{code}_{k}" for k in wanted]
     slots = df.sparkSession.createDataFrame([(i, k) for i, k in enumerate(full)], "slot int, wanted string")
-    own = df.where(F.col(f"`{ID}`").isin(sorted(set(full))))  # reaches the scan; the join only orders and repeats
+    own = df.where(keys.is_id(df, ID, full))  # reaches the scan; the join only orders and repeats
     return slots.join(own, slots["wanted"] == own[f"`{ID}`"], "left").orderBy("slot")
 
 
-def in_set(df: DataFrame, column: str, keys: DataFrame, negate: bool = False) -> DataFrame:
-    """Rows whose column is (not) in the first column of ``keys``."""
-    other = keys.select(F.col(keys.columns[0]).alias("_member")).distinct()
+def in_set(df: DataFrame, column: str, members: DataFrame, negate: bool = False) -> DataFrame:
+    """Rows whose column is (not) in the first column of ``members``."""
+    other = members.select(F.col(members.columns[0]).alias("_member")).distinct()
     return df.join(other, df[f"`{column}`"] == other["_member"], "left_anti" if negate else "left_semi")
 
 

@@ -55,22 +55,29 @@ def line_count(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.max(F.when(F.col("ok"), F.col("line"))), F.lit(0)).alias("line"))
 
 
-def build_chain(log: DataFrame, segment: list[str]) -> DataFrame:
-    """Pointers of every line, chained within segments (which are bounded by their size when written)."""
-    listed = log.groupBy(*segment).agg(F.array_sort(F.collect_list(F.struct("line", "json"))).alias("l"))
-    start = F.array().cast("array<struct<line:bigint,pointer:string,json:string>>")
+def by_lines(log: DataFrame, lines: int = 1000) -> DataFrame:
+    """The log with a column ``segment``: runs of ``lines`` lines, so that no segment grows with the log."""
+    return log.withColumn("segment", F.floor(F.col("line") / lines))
+
+
+def _listed(log: DataFrame, segment: list[str]) -> DataFrame:
+    return log.groupBy(*segment).agg(F.array_sort(F.collect_list(F.struct("line", "json"))).alias("l"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)["pointer"]
-        return F.concat(acc, F.array(F.struct(x["line"].cast("bigint").alias("line"), pointer_of(last, x["json"]).alias("pointer"), x["json"].alias("json"))))
 
-    return listed.select(*segment, F.explode(F.aggregate("l", start, step)).alias("x")).select(*segment, "x.line", "x.pointer", "x.json")
+def build_chain(log: DataFrame, segment: list[str]) -> DataFrame:
+    """Pointers of every line, chained within segments, which must be bounded (``by_lines``, or a file that was bounded when written).
+
+    What goes through the fold is a string of the 8-digit pointers alone.
+    """
+    step = lambda acc, x: F.concat(acc, pointer_of(F.right(acc, F.lit(8)), x["json"]))
+    chained = _listed(log, segment).withColumn("p", F.aggregate("l", F.lit(""), step))
+    rows = F.transform("l", lambda x, i: F.struct(x["line"].alias("line"), F.substr("p", i * 8 + 1, F.lit(8)).alias("pointer"), x["json"].alias("json")))
+    return chained.select(*segment, F.inline(rows))
 
 
 def chain_ends(log: DataFrame, segment: list[str]) -> DataFrame:
     """(segment, lines, last pointer) without keeping the pointers between."""
-    listed = log.groupBy(*segment).agg(F.array_sort(F.collect_list(F.struct("line", "json"))).alias("l"))
-    return listed.select(*segment, F.size("l").cast("long").alias("lines"), F.aggregate("l", F.lit(""), lambda a, x: pointer_of(a, x["json"])).alias("pointer"))
+    return _listed(log, segment).select(*segment, F.size("l").cast("long").alias("lines"), F.aggregate("l", F.lit(""), lambda a, x: pointer_of(a, x["json"])).alias("pointer"))
 
 
 def verify(log: DataFrame, segment: list[str], chained_segments: bool = False) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,8 +113,8 @@ def get_by_id_object(s, d):
 
 @query("SELECT key, name FROM (SELECT 'CUER_' || c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT 'SUER_' || s_suppkey, s_name FROM supplier) WHERE key = 'SUER_5'")
 def get_any_type(s, d):
-    both = customers(s, d).select(c(ID).alias("key"), F.col("c_name").alias("name")).unionByName(suppliers(s, d).select(c(ID).alias("key"), F.col("s_name").alias("name")))
-    return both.where("key = 'SUER_5'")
+    found = select.get_any_type({"CUER": customers(s, d).withColumnRenamed("c_name", "name"), "SUER": suppliers(s, d).withColumnRenamed("s_name", "name")}, "SUER_5")
+    return found.select(c(ID).alias("key"), "name")
 
 
 @query("""SELECT CAST(w.i - 1 AS INTEGER) AS slot, w.k AS wanted, c_name FROM unnest(['CUER_3','CUER_9','CUER_999999999','CUER_3']) WITH ORDINALITY AS w(k, i)
@@ -196,15 +198,11 @@ def match_array_prefix(s, d):
     return select.where(priority_lists(s, d), {"l": ["1-URGENT", "5-LOW"]}).select("o_custkey")
 
 
-@query(LISTS + "SELECT o_custkey FROM p WHERE l = (SELECT l FROM p ORDER BY len(l), o_custkey LIMIT 1) OR l = ['2-HIGH']")
+@query(LISTS + "SELECT o_custkey FROM p WHERE l = ['2-HIGH'] OR l = ['1-URGENT', '5-LOW'] OR l = ['3-MEDIUM', '3-MEDIUM', '1-URGENT']")
 def match_deep(s, d):
     p = priority_lists(s, d)
-    shortest = p.orderBy(F.size("l"), "o_custkey").limit(1).first()
-    keys = [shortest["l"]] if shortest else []
-    out = select.where(p, {"l": ["2-HIGH"]}, deep=True)
-    for k in keys:
-        out = out.unionByName(select.where(p, {"l": list(k)}, deep=True))
-    return out.select("o_custkey").distinct()
+    wanted = (["2-HIGH"], ["1-URGENT", "5-LOW"], ["3-MEDIUM", "3-MEDIUM", "1-URGENT"])
+    return p.where(functools.reduce(operator.or_, (select.match(p.schema, {"l": w}, deep=True) for w in wanted))).select("o_custkey")
 
 
 @query(LISTS + "SELECT o_custkey FROM p WHERE list_contains(l, '1-URGENT')")
@@ -249,7 +247,7 @@ def populate_group(s, d):
 def populate_array(s, d):
     o = orders(s, d)
     lists = o.groupBy(F.col("customer").alias(ID)).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", ID))), lambda x: x[ID]).alias("orders"))
-    full = refs.populate_array(lists, "orders", o.where("o_orderkey % 3 <> 0"))
+    full = refs.populate_array(lists, "orders", o.where("o_orderkey % 3 <> 0"), fields=["o_totalprice"])
     text = F.transform("orders", lambda x: F.when(x.isNull(), F.lit("-")).otherwise(cents(x["o_totalprice"]).cast("string")))
     return full.select(c(ID).alias("id"), F.array_join(text, ",").alias("totals"))
 
@@ -444,25 +442,30 @@ def wal_line_count(s, d):
     return changelog.line_count(changelog.parse_lines(text_lines(s, d)))
 
 
-CHAIN = "WITH l AS (SELECT user_id, list(event_type || ':' || props ORDER BY event_id) AS l, max(event_id) AS line FROM events GROUP BY user_id) "
+SEGMENT = 500
+CHAIN = f"WITH l AS (SELECT event_id // {SEGMENT} AS segment, list(event_type || ':' || props ORDER BY event_id) AS l, max(event_id) AS line FROM events GROUP BY segment) "
 
 
-@query(CHAIN + "SELECT user_id, CAST(len(l) AS BIGINT) AS lines, list_reduce(list_prepend('', l), lambda a, x: left(sha256(a || x), 8)) AS pointer FROM l")
+def segments(s: SparkSession, d: str) -> DataFrame:
+    return changelog.by_lines(log_lines(s, d), SEGMENT)
+
+
+@query(CHAIN + "SELECT segment, CAST(len(l) AS BIGINT) AS lines, list_reduce(list_prepend('', l), lambda a, x: left(sha256(a || x), 8)) AS pointer FROM l")
 def wal_chain_build(s, d):
-    return changelog.chain_ends(log_lines(s, d), ["user_id"])
+    return changelog.chain_ends(segments(s, d), ["segment"])
 
 
-@query(CHAIN + "SELECT user_id, line, list_reduce(list_prepend('', l), lambda a, x: left(sha256(a || x), 8)) AS pointer FROM l")
+@query(CHAIN + "SELECT segment, line, list_reduce(list_prepend('', l), lambda a, x: left(sha256(a || x), 8)) AS pointer FROM l")
 def wal_last_pointer(s, d):
-    return changelog.last_pointer(changelog.build_chain(log_lines(s, d), ["user_id"]).withColumn("ok", F.lit(True)), ["user_id"])
+    return changelog.last_pointer(changelog.build_chain(segments(s, d), ["segment"]).withColumn("ok", F.lit(True)), ["segment"])
 
 
-@query("SELECT line FROM (SELECT event_id AS line, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE line % 97 = 0 OR before % 97 = 0")
+@query(f"SELECT line FROM (SELECT event_id AS line, lag(event_id) OVER (PARTITION BY event_id // {SEGMENT} ORDER BY event_id) AS before FROM events) WHERE line % 97 = 0 OR before % 97 = 0")
 def wal_verify(s, d):
     """A chain in which some pointers were changed: they and their successors do not fit."""
-    chain = changelog.build_chain(log_lines(s, d), ["user_id"])
+    chain = changelog.build_chain(segments(s, d), ["segment"])
     bad = chain.withColumn("pointer", F.when(F.col("line") % 97 == 0, F.lit("BADPTR00")).otherwise(F.col("pointer")))
-    return changelog.verify(bad, ["user_id"]).select("line")
+    return changelog.verify(bad, ["segment"]).select("line")
 
 
 # ---- replay ----------------------------------------------------------------------------------
@@ -522,6 +525,20 @@ def wal_rename(s, d):
     return replay.documents(event_log(s, d)).select("key", "value")
 
 
+@query("SELECT 'H' || (count(*) - 1) || '_' || user_id AS key, arg_min(props, event_id) AS value FROM events GROUP BY user_id")
+def wal_rename_chain(s, d):
+    """Every user's first event makes a document, and each later one renames it."""
+    e = read_table(s, d, "events")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    hop = lambda i: F.concat(F.lit("H"), i.cast("string"), F.lit("_"), F.col("user_id").cast("string"))
+    null = F.lit(None).cast("string")
+    log = e.withColumn("n", n).select(
+        F.col("event_id").alias("line"), F.when(F.col("n") == 0, "SET").otherwise("RENAME").alias("action"), hop(F.col("n")).alias("target"), F.when(F.col("n") > 0, hop(F.col("n") - 1)).alias("old_key"),
+        null.alias("member"), F.when(F.col("n") == 0, F.col("props")).alias("value"),
+    )
+    return replay.documents(log).select("key", "value")
+
+
 SETS = "SELECT target AS set_name, member FROM (SELECT target, member, arg_max(action, line) AS a FROM log WHERE action IN ('SADD', 'SREM') GROUP BY target, member) WHERE a = 'SADD'"
 
 
@@ -552,9 +569,9 @@ def snapshot_roundtrip(s, d):
     return files.read_snapshot(s, folder)[0]
 
 
-@query(LOG + "z AS (SELECT 1) " + state_sql("(SELECT * FROM moved WHERE line <= 1000)"))
+@query(LOG + "z AS (SELECT 1) " + state_sql("(SELECT * FROM moved WHERE line <= (SELECT max(event_id) FROM events))"))
 def state_as_of(s, d):
-    return replay.as_of(event_log(s, d), 1000).select("key", "value")
+    return replay.as_of(event_log(s, d), half(s, d)).select("key", "value")
 
 
 # ---- transactions ----------------------------------------------------------------------------
@@ -695,8 +712,6 @@ def change_events(s, d):
 (SELECT user_id, event_id, json_extract_string(props, '$.k') AS k, lag(json_extract_string(props, '$.k')) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) WHERE was IS DISTINCT FROM k""")
 def version_diff(s, d):
     """What each version of a user's document changes against the one before."""
-    from pyspark.sql import Window
-
     k = F.get_json_object("props", "$.k")
     w = Window.partitionBy("user_id").orderBy("event_id")
     v = read_table(s, d, "events").select("user_id", "event_id", k.alias("value"), F.lag(k).over(w).alias("was"))
@@ -725,9 +740,9 @@ def shown(df: DataFrame, *more: str) -> DataFrame:
 MS_AT, MS_THEN = 1706745600000, 1704067200000
 
 
-@query(f"SELECT 'CUER_' || (c_custkey + 1000000000) AS id, c_name, c_nationkey, {MS_AT}::BIGINT AS \"createdAt\", {MS_AT}::BIGINT AS \"updatedAt\" FROM customer WHERE c_custkey < 100")
+@query(f"SELECT 'CUER_' || (c_custkey + 1000000000) AS id, c_name, c_nationkey, {MS_AT}::BIGINT AS \"createdAt\", {MS_AT}::BIGINT AS \"updatedAt\" FROM customer")
 def add_documents(s, d):
-    rows = read_table(s, d, "customer").where("c_custkey < 100").select("c_custkey", "c_name", "c_nationkey")
+    rows = read_table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey")
     return shown(changes.add_documents(rows, "CUER", F.lit(AT).cast("timestamp"), F.col("c_custkey") + 1000000000))
 
 
@@ -856,24 +871,48 @@ def event_stream(s: SparkSession, d: str) -> DataFrame:
 def stream_subscribe(s, d):
     """Batches of one kind of event, taken by a callback into a table."""
     folder = files.work_dir(s)
-    log = event_stream(s, d).withColumn("target", F.concat(F.upper("event_type"), F.lit("_"), F.col("user_id")))
-    q = subscribe.subscribe(log, "PURCHASE", lambda df, n: df.select("event_id", "user_id").write.mode("append").parquet(f"{folder}/got"), f"{folder}/checkpoint", once=True)
-    q.awaitTermination()
-    return s.read.schema("event_id long, user_id long").parquet(f"{folder}/got")
+    log = event_stream(s, d).withColumn("target", F.concat(F.upper("event_type"), F.lit("_"), F.col("user_id"))).select("event_id", "user_id", "target")
+    subscribe.subscribe(log, "PURCHASE", subscribe.into(f"{folder}/rows"), f"{folder}/checkpoint", once=True).awaitTermination()
+    return subscribe.stored(s, log.schema, folder).select("event_id", "user_id")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(props, event_id) AS props FROM events GROUP BY user_id")
 def stream_state_lww(s, d):
-    folder = files.work_dir(s)
-    return subscribe.drained(subscribe.latest(event_stream(s, d), "user_id", ["event_type", "props"], "event_id"), "lww_" + folder[-8:], "complete", f"{folder}/checkpoint")
+    return subscribe.table(subscribe.latest(event_stream(s, d), "user_id", ["event_type", "props"], "event_id"), "update", files.work_dir(s), ["user_id"])
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup(s, d):
     """Every event arrives twice and is kept once."""
-    folder = files.work_dir(s)
-    twice = event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_", F.explode(F.array(F.lit(1), F.lit(2))))
-    return subscribe.drained(subscribe.without_repeats(twice, ["event_id"], "ts", "365 days").select("event_id", "user_id"), "dedup_" + folder[-8:], "append", f"{folder}/checkpoint")
+    twice = timed_stream(s, d).withColumn("_", F.explode(F.array(F.lit(1), F.lit(2))))
+    return subscribe.table(subscribe.without_repeats(twice, ["event_id"], "ts", "365 days").select("event_id", "user_id"), "append", files.work_dir(s))
+
+
+def timed_stream(s: SparkSession, d: str) -> DataFrame:
+    return event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def windowed(s: SparkSession, d: str, window, by: list[str]) -> DataFrame:
+    rows = subscribe.table(subscribe.counts(timed_stream(s, d), window, by, "ts", "1 day"), "complete", files.work_dir(s))
+    return rows.select(*[F.unix_millis(x).alias(f"{x}_ms") for x in ("start", "end")], *by, "n")
+
+
+@query("SELECT epoch_ms(date_trunc('day', ts)) AS start_ms, epoch_ms(date_trunc('day', ts)) + 86400000 AS end_ms, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(s, d):
+    return windowed(s, d, F.window("ts", "1 day"), ["event_type"])
+
+
+@query("""SELECT w AS start_ms, w + 86400000 AS end_ms, event_type, count(*) AS n FROM
+(SELECT event_type, unnest([epoch_ms(ts) // 43200000 * 43200000, epoch_ms(ts) // 43200000 * 43200000 - 43200000]) AS w FROM events) GROUP BY ALL""")
+def stream_sliding(s, d):
+    return windowed(s, d, F.window("ts", "1 day", "12 hours"), ["event_type"])
+
+
+@query("""WITH g AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+n AS (SELECT user_id, t, sum(CASE WHEN b IS NULL OR t - b > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g)
+SELECT min(t) // 1000 AS start_ms, (max(t) + 21600000000) // 1000 AS end_ms, user_id, count(*) AS n FROM n GROUP BY user_id, k""")
+def stream_session(s, d):
+    return windowed(s, d, F.session_window("ts", "6 hours"), ["user_id"])
 
 
 @query("SELECT c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
 from .changelog import ACTIONS
 
 
@@ -17,35 +20,74 @@ def _last(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.max_by(F.struct("action", "value", "line"), "line").alias("e"))
 
 
-def expand_renames(log: DataFrame, hops: int = 10) -> DataFrame:
+def _last_before(plain: DataFrame, renames: DataFrame) -> DataFrame:
+    """``renames`` with ``last``, the last plain entry of the old key before each one.
+
+    The lines of a key's renames cut its entries into intervals; an aggregate takes the
+    last entry of each, so a hot key makes no hot task, and a window goes over intervals.
+    """
+    cuts = renames.groupBy(F.col("old").alias("key")).agg(F.array_sort(F.collect_set("at")).alias("cuts"))
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    # the number of cuts that are not after the line, by binary search
+    place = F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.coalesce(F.get("cuts", p + s - 1) <= F.col("line"), F.lit(False)), p + s).otherwise(p))
+    own = plain.join(cuts, "key").groupBy("key", place.alias("part")).agg(F.max_by(F.struct("line", "action", "value"), "line").alias("e"))
+    asked = renames.join(cuts.withColumnRenamed("key", "old"), "old").select("*", F.array_position("cuts", F.col("at")).cast("int").alias("part")).drop("cuts")
+    both = own.select("key", (F.col("part") + 1).alias("part"), "e").unionByName(asked.select(F.col("old").alias("key"), "part", F.struct("old", "new", "at").alias("id")), allowMissingColumns=True)
+    w = Window.partitionBy("key").orderBy("part").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("last", F.max(F.when(F.col("e").isNotNull(), F.struct("e.line", "e.action", "e.value"))).over(w)).where("id is not null")
+    return found.select("id.*", "last")
+
+
+def _resolve(live: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``live`` renames (id, last, state, value) after one round: state is true (moves ``value``), false (nothing to move) or null (still open).
+
+    A rename looks at what happened last to its old key.  If that is another rename that
+    brought a document there, it points to it; pointers are doubled until they end.
+    """
+    moved = live.select(F.col("id.new").alias("key"), F.col("id.at").alias("at"), F.lit(0).alias("out"), "id", "state", "value")
+    left = live.select(F.col("id.old").alias("key"), F.col("id.at").alias("at"), F.lit(1).alias("out"), "id", "state", "value", "last")
+    w = Window.partitionBy("key").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    seen = moved.unionByName(left, allowMissingColumns=True).withColumn("p", F.max(F.struct("at", "out", "id", "state", "value")).over(w)).where("out = 1")
+    by_entry = F.col("p").isNull() | F.coalesce(F.col("last.line") >= F.col("p.at"), F.lit(False))
+    absent = F.when(by_entry, F.coalesce(F.col("last.action") != "SET", F.lit(True))).otherwise(F.col("p.out") == 1)
+    to = F.when(F.col("state").isNull() & ~by_entry & ~absent & F.col("p.state").isNull(), F.col("p.id"))
+    value = F.when(by_entry, F.col("last.value")).otherwise(F.col("p.value"))
+    seen = seen.select("id", "last", F.coalesce("state", F.when(to.isNull(), ~absent)).alias("state"), F.when(F.col("state"), F.col("value")).when(to.isNull() & ~absent, value).alias("value"), to.alias("to"))
+    seen = cut(seen)
+    while not seen.where("to is not null").isEmpty():
+        other = seen.select(F.col("id").alias("_id"), F.col("state").alias("_state"), F.col("value").alias("_value"), F.col("to").alias("_to"))
+        j = seen.join(other, seen["to"] == other["_id"], "left")
+        # behind one that has nothing to move a rename stays open: what was there before that one counts then
+        seen = cut(j.select("id", "last", F.when(F.col("_state"), F.lit(True)).otherwise(F.col("state")).alias("state"), F.when(F.col("_state"), F.col("_value")).otherwise(F.col("value")).alias("value"), "_to").withColumnRenamed("_to", "to"))
+    return seen.drop("to")
+
+
+def expand_renames(log: DataFrame) -> DataFrame:
     """(key, line, action, value) entries with every RENAME as a DELETE and a SET.
 
-    A rename gives what its old key holds just before it; nothing if that is absent.
-    Renames that wait for another rename's target are resolved in later rounds, at most
-    ``hops``; each round is a join on the keys that are renamed and an aggregate.
+    A rename gives what its old key holds just before it, nothing if that is absent or
+    the new key is the old one.  Chains may have any length: a round resolves whole chains
+    by pointer doubling, and only a rename in the middle of one that has nothing to move
+    asks for another round.
     """
     own = known(log)
     plain = own.where(F.col("action").isin("SET", "DELETE")).select(F.col("target").alias("key"), "line", "action", "value")
-    renames = own.where("action = 'RENAME'").select(F.col("old_key").alias("old"), F.col("target").alias("new"), F.col("line").alias("at"))
+    renames = own.where("action = 'RENAME' and old_key <> target").select(F.col("old_key").alias("old"), F.col("target").alias("new"), F.col("line").alias("at")).distinct()
     if renames.isEmpty():
         return plain
-    for _ in range(hops):
-        # a rename waits while an earlier, open rename touches its old key
-        waits = renames.alias("r").join(
-            renames.select(F.explode(F.array("old", "new")).alias("k"), F.col("at").alias("before")).alias("b"), (F.col("r.old") == F.col("b.k")) & (F.col("b.before") < F.col("r.at")), "left_semi"
-        )
-        ready = renames.join(waits.select("old", "new", "at"), ["old", "new", "at"], "left_anti")
-        held = ready.join(plain, (F.col("old") == F.col("key")) & (F.col("line") < F.col("at"))).groupBy("old", "new", "at").agg(F.max_by(F.struct("action", "value"), "line").alias("p"))
-        moved = held.where("p.action = 'SET'").select(F.explode(F.array(
-            F.struct(F.col("old").alias("key"), F.col("at").alias("line"), F.lit("DELETE").alias("action"), F.lit(None).cast("string").alias("value")),
-            F.struct(F.col("new").alias("key"), F.col("at").alias("line"), F.lit("SET").alias("action"), F.col("p.value").alias("value")),
-        )).alias("x")).select("x.*")
-        plain, renames = plain.unionByName(moved), waits
-        if waits.isEmpty():
-            return plain
-        if log.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            plain, renames = plain.checkpoint(), renames.checkpoint()
-    raise ValueError(f"more than {hops} renames follow each other")
+    spark = log.sparkSession
+    cut = lambda df: files.kept(spark, df)
+    renames = cut(renames)
+    live = cut(_last_before(plain, renames).select(F.struct("old", "new", "at").alias("id"), "last", F.lit(None).cast("boolean").alias("state"), F.lit(None).cast("string").alias("value")))
+    while True:
+        live = _resolve(live, cut).where("state is null or state")
+        if live.where("state is null").isEmpty():
+            break
+    entries = live.select(F.explode(F.array(
+        F.struct(F.col("id.old").alias("key"), F.col("id.at").alias("line"), F.lit("DELETE").alias("action"), F.lit(None).cast("string").alias("value")),
+        F.struct(F.col("id.new").alias("key"), F.col("id.at").alias("line"), F.lit("SET").alias("action"), F.col("value")),
+    )).alias("x")).select("x.*")
+    return plain.unionByName(entries)
 
 
 def documents(log: DataFrame, renames: bool = True) -> DataFrame:

@@ -22,17 +22,26 @@ def _fs(spark: SparkSession, path: str):
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and the session is of this machine alone, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not checkpoint.isDefined():
+            if spark.sparkContext.master.partition("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafledger-"))
             checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = checkpoint.get()
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written to the working folder and read again, which cuts its lineage."""
+    folder = work_dir(spark)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def read_text_file(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):

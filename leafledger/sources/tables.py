@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidName
 from ..functions.names import check_name, make_key, short_code
+from ..operators import keys
 from ..operators.select import ID
 
 
@@ -26,10 +27,16 @@ class Registry:
 
 
 def from_table(df: DataFrame, name: str, key: str, refs: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """A table as a collection: ``$ID`` from its key, and references (column -> (new column, collection))."""
-    out = df.select(make_key(short_code(check_name(name)), F.col(key)).alias(ID), "*")
-    for column, (new, target) in (refs or {}).items():
-        out = out.withColumn(new, F.when(F.col(column).isNotNull(), make_key(short_code(target), F.col(column))))
+    """A table as a collection: ``$ID`` from its key, and references (column -> (new column, collection)).
+
+    The columns of ids remember the columns they are made of, so lookups and joins by id
+    become ones by key (``operators/keys.py``).
+    """
+    made = {ID: (short_code(check_name(name)), key)} | {new: (short_code(target), column) for column, (new, target) in (refs or {}).items()}
+    out = df.select(make_key(made[ID][0], F.col(key)).alias(ID, metadata=keys.made_from(df, *made[ID])), "*")
+    for new, (code, column) in made.items():
+        if new != ID:
+            out = out.withColumn(new, F.when(F.col(column).isNotNull(), make_key(code, F.col(column))).alias(new, metadata=keys.made_from(df, code, column)))
     return out
 
 

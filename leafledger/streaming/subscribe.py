@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.names import key_type
 
@@ -32,8 +32,35 @@ def without_repeats(log: DataFrame, keys: list[str], time: str, late: str) -> Da
     return log.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now into a memory table, and return that."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def counts(log: DataFrame, window: Column, by: list[str], time: str, late: str) -> DataFrame:
+    """(start, end, ``by``, n): events in tumbling, sliding (``F.window``) or session windows (``F.session_window``)."""
+    grouped = log.withWatermark(time, late).groupBy(window.alias("w"), *by).agg(F.count("*").alias("n"))
+    return grouped.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
+
+
+def into(folder: str) -> Callable[[DataFrame, int], None]:
+    """A callback that writes each batch to a folder of its own: a batch that runs again replaces its rows."""
+    return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
+def table(df: DataFrame, mode: str, folder: str, key: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there now into Parquet below ``folder``, and return its rows.
+
+    ``append`` gives all batches' rows; ``update`` the latest row of each ``key``;
+    ``complete`` the rows of the last batch.
+    """
+    q = df.writeStream.foreachBatch(into(f"{folder}/rows")).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return stored(df.sparkSession, df.schema, folder, mode, key)
+
+
+def stored(spark: SparkSession, schema: StructType, folder: str, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+    """The rows that ``table`` or ``into`` has written below ``folder``."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]  # from the folders' names and row counts
+        rows = rows.where(F.col("batch") == F.lit(last))
+    if mode == "update":
+        names = [n for n in schema.names if n not in key]
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*names), "batch").alias("_v")).select(*key, "_v.*").select(*schema.names)
+    return rows.select(*schema.names)
