@@ -73,3 +73,8 @@ def check_id(code: str, key: str) -> str:
     if not isinstance(key, str) or not key.startswith(f"{code}_") or len(key) == len(code) + 1:
         raise InvalidSelector(f"{key!r} is no id of type {code}")
     return key
+
+
+def valid_id_col(code: str, key: Column) -> Column:
+    """Whether keys are ids of a type."""
+    return key.startswith(f"{code}_") & (F.length(key) > len(code) + 1)

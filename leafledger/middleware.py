@@ -65,11 +65,11 @@ def logging(write: Callable[[str], None] = print, prefix: str = "db") -> Middlew
 
 
 def validation(rules: dict[str, dict[str, Rule]]) -> Middleware:
-    """Refuse rows that break the rules of their collection (or of ``*``) before they are added or set."""
+    """Refuse rows that break the rules of their collection (or of ``*``) before they are added, set or updated."""
 
     def fn(ctx: dict, next_: Callable[[], None]) -> None:
         own = rules.get(ctx["collection"], rules.get("*"))
-        if own and ctx["operation"] in ("add", "set"):
+        if own and ctx.get("rows") is not None:
             df = ctx["rows"]
             bad = df.select(first_error(df.schema, own).alias("error")).where("error is not null").limit(1).collect()
             if bad:

@@ -83,16 +83,16 @@ def chain_ends(log: DataFrame, segment: list[str]) -> DataFrame:
 def verify(log: DataFrame, segment: list[str], chained_segments: bool = False) -> DataFrame:
     """Lines whose stored pointer does not follow from the stored pointer before it.
 
-    Checked within segments; with ``chained_segments`` the first line of a segment
-    follows the last line of the segment before it (one small row for each segment).
+    Checked within segments; with ``chained_segments``, where segments are one column of
+    running numbers, the first line of a segment follows the last line of the one before.
     """
     w = Window.partitionBy(*segment).orderBy("line")
     before = F.lag("pointer").over(w)
     rows = log
     if chained_segments:
-        ends = log.groupBy(*segment).agg(F.max_by("pointer", "line").alias("_last"))
-        ends = ends.withColumn("_previous", F.lag("_last").over(Window.orderBy(*segment))).drop("_last")
-        rows = log.join(ends, segment)
+        (number,) = segment
+        ends = log.groupBy((F.col(number) + 1).alias(number)).agg(F.max_by("pointer", "line").alias("_previous"))
+        rows = log.join(ends, number, "left")
         before = F.coalesce(before, F.col("_previous"))
     return rows.withColumn("expected", pointer_of(before, F.col("json"))).where(~F.col("pointer").eqNullSafe(F.col("expected")))
 

@@ -926,3 +926,6 @@ UNION ALL SELECT 'CUER_' || c_custkey, 2 FROM customer JOIN nation ON c_nationke
 def graph_walk(s, d):
     edges = nations(s, d).select(F.col("region").alias("src"), c(ID).alias("dst")).unionByName(customers(s, d).select(F.col("nation").alias("src"), c(ID).alias("dst")))
     return refs.walk(edges, s.createDataFrame([("REON_0",)], "v string"))
+
+
+from . import store_queries  # noqa: E402, F401  its queries register themselves here

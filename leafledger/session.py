@@ -1,8 +1,9 @@
 """The façade: collections over a change log in a folder.
 
 Reads are lazy DataFrames; a write appends one folder of log entries, which is renamed
-into place whole and is one position (``line``) of the log.  State is the fold of the
-latest snapshot and the log after it.  One writer at a time.
+into place whole and is one position (``line``) of the log.  A marker file that only one
+writer can create claims a position.  State is the fold of the latest snapshot and the
+log after it; commits that a snapshot covers can be archived.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from .errors import InvalidSelector, NotFound, TransactionError
 from .functions import codec, crypto
@@ -41,6 +44,7 @@ class Database:
     def __init__(self, spark: SparkSession, path: str, key: bytes | None = None):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self.registry, self.middleware, self.txn = Registry(), Chain(), None
+        self._subscribers: list[tuple[str, StreamingQuery]] = []
         text = files.read_text_file(spark, f"{self.path}/schemas.json")
         self.schemas: dict[str, T.StructType] = {k: T.StructType.fromJson(v) for k, v in json.loads(text).items()} if text else {}
         for name in self.schemas:
@@ -69,17 +73,30 @@ class Database:
         fs, p = files._fs(self.spark, f"{self.path}/log")
         fs.mkdirs(p)
 
+    def _listed(self, folder: str, prefix: str) -> list[tuple[int, str]]:
+        fs, p = files._fs(self.spark, f"{self.path}/{folder}")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(n[2:]), f"{self.path}/{folder}/{n}") for n in names if n.startswith(prefix))
+
     def _commits(self) -> list[tuple[int, str]]:
-        fs, p = files._fs(self.spark, f"{self.path}/log")
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted((int(n[2:]), f"{self.path}/log/{n}") for n in names if n.startswith("c-"))
+        return self._listed("log", "c-")
+
+    def _last_line(self) -> int:
+        return max([0, *(line for line, _ in self._commits()), *(line for line, _ in self._listed("archive", "a-"))])
 
     def log(self, after: int = 0) -> DataFrame:
-        """Entries after a line, values decrypted."""
-        own = [p for line, p in self._commits() if line > after]
-        df = self.spark.read.schema(LOG).parquet(*own) if own else self.spark.createDataFrame([], LOG)
+        """Entries after a line, values decrypted; archived ones only if ``after`` asks for them."""
+        own = [p for line, p in self._listed("archive", "a-") if line > after] + [p for line, p in self._commits() if line > after]
+        df = self.spark.read.schema(LOG).parquet(*own).where(F.col("line") > after) if own else self.spark.createDataFrame([], LOG)
         return df.withColumn("value", self._open(F.col("value"), F.col("target")))
 
+    def _used(self) -> DataFrame:
+        """Every key of the snapshot and of the log after it, also of the active transaction."""
+        snap = files.read_snapshot(self.spark, f"{self.path}/snapshot")
+        out = self.log(snap[1] if snap else 0).select(F.col("target").alias("key"))
+        out = out.unionByName(snap[0].select("key")) if snap else out
+        return out if self.txn is None else out.unionByName(self._actions(self.txn).select(F.col("target").alias("key")))
+
     def _seal(self, value: Column, target: Column) -> Column:
         return value if self.key is None else F.when(value.isNotNull(), crypto.encrypt(value, self.key, target))
 
@@ -94,49 +111,94 @@ class Database:
             self._known(txn_id)
             base, line = f"{self.path}/txn/{txn_id}", self._seq(txn_id) + 1
         else:
-            commits = self._commits()
-            base, line = f"{self.path}/log", (commits[-1][0] if commits else 0) + 1
+            base, line = f"{self.path}/log", self._last_line() + 1
         temp = f"{self.path}/tmp/{uuid.uuid4().hex}"
         schema = T._parse_datatype_string(LOG)
         rows.withColumn("line", F.lit(line).cast("long")).select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(temp)
         fs, source = files._fs(self.spark, temp)
         _, target = files._fs(self.spark, f"{base}/c-{line:012d}")
         fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(source, target):
-            raise TransactionError("another writer took this position of the log")
+        claim = files._fs(self.spark, f"{base}/_claim-{line:012d}")[1]
+        try:
+            fs.create(claim, False).close()  # of several writers one succeeds
+        except Py4JJavaError as e:
+            raise TransactionError("another writer took this position of the log") from e
+        try:
+            if fs.exists(target) or not fs.rename(source, target):
+                raise TransactionError("another writer took this position of the log")
+        finally:
+            fs.delete(claim, False)
 
     # -- state ----------------------------------------------------------------------------------
 
-    def _committed(self) -> DataFrame:
+    def _committed(self, keys: list[str] | None = None) -> DataFrame:
+        """The state; with ``keys`` of these only, by a fold of their own entries unless a rename brought one of them there."""
         snap = files.read_snapshot(self.spark, f"{self.path}/snapshot")
-        if snap is None:
-            return replay.documents(self.log())
-        state = snap[0].withColumn("value", self._open(F.col("value"), F.col("key")))
-        return replay.from_snapshot(state, snap[1], self.log(snap[1]))
-
-    def state(self, txn_id: str | None = "active") -> DataFrame:
-        """(key, value) as seen now; ``None`` leaves the active transaction out."""
-        base = self._committed().select("key", "value")
+        log = self.log(snap[1] if snap else 0)
+        state = snap and snap[0].withColumn("value", self._open(F.col("value"), F.col("key")))
+        if keys is None:
+            return replay.from_snapshot(state, snap[1], log) if snap else replay.documents(log)
+        if not log.where((F.col("action") == "RENAME") & F.col("target").isin(keys)).isEmpty():
+            return self._committed().where(F.col("key").isin(keys))
+        own = log.where(F.col("target").isin(keys) | F.col("old_key").isin(keys))
+        found = replay.from_snapshot(state.where(F.col("key").isin(keys)), snap[1], own) if snap else replay.documents(own)
+        return found.where(F.col("key").isin(keys))
+
+    def state(self, txn_id: str | None = "active", keys: list[str] | None = None) -> DataFrame:
+        """(key, value) as seen now, of ``keys`` or all; ``txn_id=None`` leaves the active transaction out."""
         own = self.txn if txn_id == "active" else txn_id
-        return base if own is None else txn.overlay(base, self._actions(own))
+        if own is None:
+            return self._committed(keys).select("key", "value")
+        seen = txn.overlay(self._committed().select("key", "value"), self._actions(own))
+        return seen if keys is None else seen.where(F.col("key").isin(keys))
+
+    def fetch(self, key: str, txn_id: str | None = "active") -> str | None:
+        """The stored JSON of a key of any type, None if it is absent; an unknown transaction reads the main state."""
+        own = self.txn if txn_id == "active" else txn_id
+        row = self.state(own if own in self.pending() else None, [key]).first()
+        return row and row["value"]
 
     def sets(self) -> DataFrame:
-        base = replay.sets(self.log())
+        snap = files.read_snapshot_sets(self.spark, f"{self.path}/snapshot")
+        base = replay.sets(self.log()) if snap is None else txn.set_overlay(snap[0], self.log(snap[1]))
         return base if self.txn is None else txn.set_overlay(base, self._actions(self.txn))
 
     def snapshot(self) -> int:
         """Write the state and point to it; returns the line it stands for."""
-        commits = self._commits()
-        line = commits[-1][0] if commits else 0
-        state = self._committed().select("key", self._seal(F.col("value"), F.col("key")).alias("value"))
-        files.write_snapshot(state, f"{self.path}/snapshot", line)
+        line, kept_txn, self.txn = self._last_line(), self.txn, None
+        try:
+            state = self._committed().select("key", self._seal(F.col("value"), F.col("key")).alias("value"))
+            files.write_snapshot(state, f"{self.path}/snapshot", line, self.sets())
+        finally:
+            self.txn = kept_txn
         return line
 
-    def documents(self, name: str, deleted: bool = False, txn_id: str | None = "active") -> DataFrame:
-        """A collection as a DataFrame; with ``deleted`` its deleted documents."""
+    def archive(self) -> int:
+        """Move the commits that the latest snapshot covers into one archived segment; returns how many there were."""
+        snap = files.read_snapshot(self.spark, f"{self.path}/snapshot")
+        old = [(line, p) for line, p in self._commits() if snap and line <= snap[1]]
+        if old:
+            temp = f"{self.path}/tmp/{uuid.uuid4().hex}"
+            self.spark.read.schema(LOG).parquet(*[p for _, p in old]).write.parquet(temp)
+            fs, source = files._fs(self.spark, temp)
+            _, target = files._fs(self.spark, f"{self.path}/archive/a-{old[-1][0]:012d}")
+            fs.mkdirs(target.getParent())
+            fs.rename(source, target)
+            for _, p in old:
+                fs.delete(files._fs(self.spark, p)[1], True)
+        return len(old)
+
+    def checkpoint(self) -> int:
+        """Snapshot, then archive; an orchestrator calls it as often as it likes."""
+        line = self.snapshot()
+        self.archive()
+        return line
+
+    def documents(self, name: str, deleted: bool = False, txn_id: str | None = "active", keys: list[str] | None = None) -> DataFrame:
+        """A collection (or the documents of some ``keys`` of it) as a DataFrame; with ``deleted`` its deleted documents."""
         own = check_name(name)
         code = self.registry.code(own)
-        rows = self.state(txn_id).where(key_type(F.col("key")) == code).where(F.col("key").startswith("X:") if deleted else ~F.col("key").startswith("X:"))
+        rows = self.state(txn_id, keys).where(key_type(F.col("key")) == code).where(F.col("key").startswith("X:") if deleted else ~F.col("key").startswith("X:"))
         schema = self._schema(own)
         if deleted:
             schema = T.StructType([*schema.fields, T.StructField("deletedAt", T.TimestampType()), T.StructField("deletedBy", T.StringType())])
@@ -160,7 +222,9 @@ class Database:
             raise InvalidSelector(f"cannot select by {type(selector).__name__}")
 
         def final(ctx: dict) -> None:
-            df = self.documents(own, txn_id=txn_id)
+            wanted = selector[ID] if isinstance(selector, dict) and ID in selector else selector
+            keys = [wanted] if isinstance(wanted, str) else [k if k.startswith(f"{code}_") else f"{code}_{k}" for k in wanted] if isinstance(wanted, (list, tuple)) else None
+            df = self.documents(own, txn_id=txn_id, keys=keys)
             if isinstance(selector, str) or (isinstance(selector, dict) and ID in selector):
                 ctx["df"] = select.get_by_id(df, code, selector)
             elif isinstance(selector, (list, tuple)):
@@ -202,9 +266,10 @@ class Database:
             key = F.concat(F.lit(f"{code}_"), derived_id(F.lit(salt), F.col("_n")))
             at = F.current_timestamp()
             docs = kept.select(key.alias(ID), *[F.col(f"`{c}`") for c in flat.columns], at.alias("createdAt"), at.alias("updatedAt"))
-            taken = self.state().select("key")
-            clash = docs.select(F.col(f"`{ID}`").alias("key"))
-            if not clash.join(taken, "key", "left_semi").isEmpty() or clash.count() != clash.distinct().count():
+            # keys alone are read, nothing is folded: a key that was ever used is not used again
+            new = docs.select(F.col(f"`{ID}`").alias("key"))
+            again = new.groupBy("key").count().where("count > 1").select("key").unionByName(new.join(self._used(), "key", "left_semi"))
+            if not again.isEmpty():
                 longer = F.concat(F.lit(f"{code}_"), derived_id(F.lit(salt), F.col("_n")), derived_id(F.col("_n"), F.lit(salt)))
                 docs = kept.select(longer.alias(ID), *[F.col(f"`{c}`") for c in flat.columns], at.alias("createdAt"), at.alias("updatedAt"))
             member = docs.select(*changelog.entry("SADD", F.lit(f"{code}?"), member=F.expr(f"substr(`{ID}`, {len(code) + 2})")))
@@ -221,16 +286,19 @@ class Database:
         if any(p.split(".")[0] in (ID, "createdAt", "updatedAt") for p in values):
             raise InvalidSelector("$ID, createdAt and updatedAt are not set by hand")
 
-        def final(ctx: dict) -> None:
+        def changed() -> DataFrame:
             docs = self.get(f"{own}S", [selector] if isinstance(selector, str) else selector)
-            docs = docs.drop("slot", "wanted").where(F.col(f"`{ID}`").isNotNull())
-            new = docs
+            new = docs.drop("slot", "wanted").where(F.col(f"`{ID}`").isNotNull())
             for path, value in values.items():
                 new = changes.set_path(new, path.split("."), value if isinstance(value, Column) else F.lit(value))
+            return new
+
+        def final(ctx: dict) -> None:
+            new = ctx["rows"]
             self.declare(own, new.drop(ID, "createdAt", "updatedAt").schema)
             self._append(self._sets(new.withColumn("updatedAt", F.current_timestamp())), save_by, tag, self.txn)
 
-        self._run("update", own, final)
+        self._run("update", own, final, rows=changed())
 
     def drop(self, name: str, selector: Any, path: str) -> None:
         """Delete a field of the selected documents."""
@@ -290,7 +358,19 @@ class Database:
         code = self.registry.code(check_name(name))
         stream = read_log(self.spark, f"{self.path}/log/c-*", LOG)
         stream = stream.withColumn("value", self._open(F.col("value"), F.col("target")))
-        return subscribe(stream.where("action in ('SET', 'DELETE', 'RENAME')"), code, callback, f"{self.path}/sub/{uuid.uuid4().hex}", once=once)
+        query = subscribe(stream.where("action in ('SET', 'DELETE', 'RENAME')"), code, callback, f"{self.path}/sub/{uuid.uuid4().hex}", once=once)
+        self._subscribers.append((code, query))
+        return query
+
+    def subscriber_count(self, name: str) -> int:
+        """Running subscriptions of this session to a collection."""
+        code = self.registry.code(check_name(name))
+        return sum(c == code and q.isActive for c, q in self._subscribers)
+
+    def clear_subscribers(self) -> None:
+        for _, query in self._subscribers:
+            query.stop()
+        self._subscribers.clear()
 
     # -- transactions ---------------------------------------------------------------------------
 

@@ -102,12 +102,48 @@ def list_cold(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("key string, type string").parquet(folder).select("key", "type", F.col("_metadata.file_name").alias("file"))
 
 
-def write_snapshot(state: DataFrame, folder: str, line: int) -> str:
-    """Write documents (key, value) and point to them; returns the folder that was written."""
+def cold_folder(folder: str, key: str) -> str:
+    """Where the documents of a key's type stand."""
+    return f"{folder}/type={key.partition('_')[0]}"
+
+
+def exists_cold(spark: SparkSession, folder: str, key: str) -> bool:
+    fs, p = _fs(spark, cold_folder(folder, key))
+    return fs.exists(p) and not read_cold(spark, folder, key.partition("_")[0], key).isEmpty()
+
+
+def delete_cold(spark: SparkSession, folder: str, keys: DataFrame) -> None:
+    """Delete documents by key (first column of ``keys``); unknown keys are ignored.
+
+    The types that are touched are written anew beside the old files, which go only when
+    the new ones stand.
+    """
+    gone = keys.select(F.col(keys.columns[0]).alias("key")).distinct()
+    types = [r[0] for r in gone.select(F.substring_index("key", "_", 1)).distinct().collect()]  # a row for each type
+    for code in types:
+        fs, old = _fs(spark, f"{folder}/type={code}")
+        if not fs.exists(old):
+            continue
+        rest = read_cold(spark, folder, code).join(gone, "key", "left_anti").drop("type")
+        own = f"{folder}/_new-{uuid.uuid4().hex}"
+        rest.write.parquet(own)
+        _, new = _fs(spark, own)
+        _, aside = _fs(spark, f"{folder}/_old-{uuid.uuid4().hex}")
+        fs.rename(old, aside)
+        fs.rename(new, old)
+        fs.delete(aside, True)
+
+
+def write_snapshot(state: DataFrame, folder: str, line: int, sets: DataFrame | None = None) -> str:
+    """Write documents (key, value) and set members, and point to them; returns the folder that was written."""
     spark = state.sparkSession
     own = f"{folder}/v-{uuid.uuid4().hex}"
-    state.select("key", "value").write.parquet(own)
-    publish(spark, f"{folder}/LATEST", json.dumps({"version": 2, "line": line, "path": own}))
+    at = {"version": 2, "line": line, "path": f"{own}/documents"}
+    state.select("key", "value").write.parquet(at["path"])
+    if sets is not None:
+        at["sets"] = f"{own}/sets"
+        sets.select("set_name", "member").write.parquet(at["sets"])
+    publish(spark, f"{folder}/LATEST", json.dumps(at))
     return own
 
 
@@ -118,3 +154,20 @@ def read_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, int] | N
         return None
     at = json.loads(text)
     return spark.read.schema("key string, value string").parquet(at["path"]), at["line"]
+
+
+def read_snapshot_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, int] | None:
+    """(set members, line) of the latest snapshot; None if it has none."""
+    text = read_text_file(spark, f"{folder}/LATEST")
+    at = json.loads(text) if text else {}
+    return (spark.read.schema("set_name string, member string").parquet(at["sets"]), at["line"]) if "sets" in at else None
+
+
+def snapshot_documents(snapshots: DataFrame, text: str = "value") -> DataFrame:
+    """(version, line, key, value) of snapshots that are JSON texts ``{version, walLine, documents}``.
+
+    Documents of version 1 are strings of JSON, those of version 2 are objects; both become JSON text.
+    """
+    head = F.from_json(text, "version int, walLine long")
+    whole = F.from_json(F.get_json_object(text, "$.documents"), "map<string, string>")
+    return snapshots.select(F.coalesce(head["version"], F.lit(1)).alias("version"), head["walLine"].alias("line"), F.explode(whole).alias("key", "value"))

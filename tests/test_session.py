@@ -143,3 +143,55 @@ def test_context_manager_snapshots(spark, tmp_path):
         db.add("user", {"name": "A"})
     assert os.path.exists(tmp_path / "x" / "snapshot" / "LATEST")
     assert names(Database(spark, str(tmp_path / "x")).get("userS", F.col("name") == "A")) == ["A"]
+
+
+def test_archive_keeps_state_sets_and_positions(spark, db):
+    a = db.add("user", [{"name": "A"}, {"name": "B"}]).where("name = 'A'").first()[ID]
+    db.update("user", a, {"name": "A2"})
+    assert db.checkpoint() == 2 and db._commits() == []
+    assert db.log().count() == 5 and db.log(2).count() == 0
+    db.add("user", {"name": "C"})
+    db.delete("user", a, "USER_1")
+    again = Database(spark, db.path)
+    assert [line for line, _ in again._commits()] == [3, 4]
+    assert names(again.get("userS")) == ["B", "C"] and again.sets().count() == 2
+    assert again.archive() == 0 and again.checkpoint() == 4 and again.sets().count() == 2 and again.archive() == 0
+
+
+def test_fetch_by_key_and_by_renamed_key(spark, db):
+    a = db.add("user", {"name": "A"}).first()[ID]
+    assert '"A"' in db.fetch(a) and db.fetch("USER_none") is None and '"A"' in db.fetch(a, txn_id="txn_unknown")
+    from leafledger.plans import changelog
+
+    db._append(spark.range(1).select(*changelog.entry("RENAME", F.lit("USER_new"), old_key=F.lit(a))), None, None, None)
+    assert db.fetch(a) is None and '"A"' in db.fetch("USER_new")
+    db.rec()
+    db.update("user", "USER_new", {"name": "B"})
+    assert '"B"' in db.fetch("USER_new") and '"A"' in db.fetch("USER_new", txn_id=None)
+
+
+def test_update_is_validated(db):
+    a = db.add("user", {"name": "A", "age": 1}).first()[ID]
+    db.middleware.use(middleware.validation({"user": {"name": Rule("string"), "age": Rule("number", required=False)}}))
+    with pytest.raises(ValidationError):
+        db.update("user", a, {"name": None})
+    db.update("user", a, {"age": 2})
+    assert db.get("user", a).first().age == 2
+
+
+def test_a_claimed_position_is_refused(spark, db):
+    db.add("user", {"name": "A"})
+    open(os.path.join(db.path, "log", "_claim-000000000002"), "w").close()
+    with pytest.raises(TransactionError):
+        db.add("user", {"name": "B"})
+    os.remove(os.path.join(db.path, "log", "_claim-000000000002"))
+    db.add("user", {"name": "B"})
+    assert names(db.get("userS")) == ["A", "B"]
+
+
+def test_subscribers_are_counted_and_cleared(db):
+    db.add("user", {"name": "A"})
+    q = db.sub("user", lambda df, n: None)
+    assert db.subscriber_count("user") == 1 and db.subscriber_count("item") == 0
+    db.clear_subscribers()
+    assert not q.isActive and db.subscriber_count("user") == 0
