@@ -87,15 +87,15 @@ def components(edges: DataFrame, rounds: int = 60, contracted: bool = False) ->
     state = None
     for _ in range(rounds):
         # now has src > dst.  Large star: the larger neighbours of v go to the smallest neighbour of v, if that is
-        # smaller.  Joins are on negated vertices so that both sides are plain shuffles, which Spark can split: a vertex
+        # smaller.  Joins are on inverted vertices so that both sides are plain shuffles, which Spark can split: a vertex
         # may have very many neighbours.
-        low = now.groupBy("src").agg(F.min("dst").alias("m")).select((-F.col("src")).alias("v"), "m")
-        large = now.withColumn("v", -F.col("dst")).join(low, "v", "left").select("src", F.coalesce("m", "dst").alias("dst"))
+        low = now.groupBy("src").agg(F.min("dst").alias("m")).select(F.bitwise_not("src").alias("v"), "m")
+        large = now.withColumn("v", F.bitwise_not("dst")).join(low, "v", "left").select("src", F.coalesce("m", "dst").alias("dst"))
         large = local_forest(large).distinct().checkpoint()  # read three times below
         # Small star: v and its smaller neighbours go to the smallest of them.
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        tied = low.select((-F.col("src")).alias("v"), "m")
-        small = large.withColumn("v", -F.col("src")).join(tied, "v").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        tied = low.select(F.bitwise_not("src").alias("v"), "m")
+        small = large.withColumn("v", F.bitwise_not("src")).join(tied, "v").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         now = small.unionByName(low.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct().checkpoint()
         check = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(check) == state:

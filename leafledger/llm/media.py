@@ -3,10 +3,12 @@
 A payload is cut where a rolling gear hash over the last 32 bytes has its top bits
 zero, between ``smallest`` and ``largest`` bytes.  Chunk digests are counted by one
 aggregation; a digest that occurs once keeps its bytes beside its chunk list, the
-others go to a chunk table with one row for each digest.  A fixed-size bitmap of the
-repeated digests (2 MB, whatever the input) tells the storing pass which chunks may be
-repeated; a false hit only puts a single chunk into the chunk table, so nothing
-depends on the bitmap for being right, and no text has to be shuffled.
+others go to a chunk table with one row for each digest.  A bitmap of the
+repeated digests, with 16 bits for each and 64 MB at most, tells the storing pass which
+chunks may be repeated; a false hit only puts a single chunk into the chunk table, so
+nothing depends on the bitmap for being right.  Where it fills up, beyond some 100 million
+repeated digests, more and more single chunks take the way through the chunk table, at
+most one shuffle of all payloads.
 
 Reading joins only the repeated chunks to the lists that name them, puts payloads
 together in order and checks every chunk's digest and the whole length.
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import in_bitmap, key_bitmap
+from .store import bits_for, in_bitmap, key_bitmap, saved, shared_dir
 from .text import buffers, slices
 
 PAD = 64
@@ -93,7 +95,7 @@ def chunk_lists(column: pa.Array, **sizes) -> Iterator[tuple[int, int, list[byte
 
 
 def repeated_digests(df: DataFrame, payload: str, **sizes) -> DataFrame:
-    """Column ``k``: the first 64 bits of every chunk digest that occurs more than once."""
+    """Every chunk digest that occurs more than once."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,7 +106,7 @@ def repeated_digests(df: DataFrame, payload: str, **sizes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["digest", "copies"])
 
     counts = df.select(payload).mapInArrow(digests, "digest binary, copies long").groupBy("digest").agg(F.sum("copies").alias("copies"))
-    return counts.where("copies > 1").select(F.xxhash64("digest").alias("k"), "digest")
+    return counts.where("copies > 1").select("digest")
 
 
 def _low64(digests: list[bytes]) -> np.ndarray:
@@ -119,9 +121,9 @@ def pack_list(digests: list[bytes], chunks: list) -> bytes:
 def store_media(df: DataFrame, folder: str, key: str = "doc_id", payload: str = "text", **sizes) -> None:
     """Write chunk lists (``folder/media``) and the chunk table (``folder/chunks``)."""
     spark = df.sparkSession
-    repeated = repeated_digests(df, payload, **sizes)
     low = F.expr("conv(hex(reverse(substring(digest, 1, 8))), 16, -10)").cast("long")
-    bitmap = spark.sparkContext.broadcast(key_bitmap(repeated.select(low.alias("k")), "k"))
+    repeated = saved(repeated_digests(df, payload, **sizes).select(low.alias("k")), shared_dir(spark))
+    bitmap = spark.sparkContext.broadcast(key_bitmap(repeated, "k", bits_for(repeated.count())))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "row", "key", "n", "list", "body", "refs", "digest"]

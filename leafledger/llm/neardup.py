@@ -10,20 +10,25 @@
 3.  ``bands`` bands of ``rows`` registers; every member of a bucket is tied to the
     bucket's smallest id, and union-find over these ties gives candidate groups.  No
     pairs are made.
-4.  Shingle sets of candidates only (chosen by a fixed-size bitmap, then an exact join)
-    are dealt by group; a group of over ``block`` classes becomes pairs of blocks.  In
-    a block pair, pairs that share a band and are not yet known to be connected are
+4.  Shingle sets of candidates only are made again (they are chosen by a bitmap with 16
+    bits a candidate, or by a join if that had more than 64 MB, and by an exact join) and
+    dealt by group.  A group of over ``block`` classes is dealt to blocks by hash.  In
+    a block, pairs that share a band and are not yet known to be connected are
     confirmed on the full sets by exact intersection counts, and a spanning forest of
     the confirmed links is returned.
-5.  Union-find over the confirmed links gives the components.
+5.  Union-find over the confirmed links gives components.  Where a group of several
+    blocks is not one component yet, its rows are dealt once more, components to blocks
+    of their own, and only blocks of different components are compared: work grows with
+    what is not connected, not with the square of a group of copies.
+6.  Union-find over all links gives the result.
 
 With 25 bands of 5 registers a pair at similarity 0.85 shares no band with probability
 4e-7, at 0.8 with 5e-5.
 
 Null and empty texts, and texts of white space, have no shingles and no links.  With
-fewer words than ``k`` the whole sequence is the one shingle.  A null id is kept and
-takes no part; rows with equal ids count as one document for linking and stay separate
-rows.  Other columns are not read.
+fewer words than ``k`` the whole sequence is the one shingle.  A null id is kept, has a
+null component and takes no part.  Rows with equal ids count as one document for linking,
+which has the links of all their texts, and stay separate rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import UnionFind, components, local_forest
-from .store import in_bitmap, key_bitmap, saved, shared_dir
+from . import store
+from .store import bits_for, in_bitmap, key_bitmap, saved, shared_dir
 from .text import Words, buffers, lean, mix, shingles, slices
 
 BANDS, ROWS = 25, 5
@@ -119,7 +125,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 view = memoryview(h).cast("B")
-                digests = [hashlib.blake2b(view[8 * a : 8 * z], digest_size=16).digest() if z > a else None for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
+                digests = [_set_digest(view[8 * a : 8 * z]) if z > a else None for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
                 keys = band_keys(superminhash(h, at))[full]
                 ends = np.zeros(len(n) + 1, np.int32)
                 np.cumsum(np.where(n > 0, BANDS, 0), out=ends[1:])
@@ -131,34 +137,55 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(lean(sign), _SIGNED)
 
 
-def candidate_sets(rows: DataFrame, k: int, bitmap) -> DataFrame:
-    """(key, shingles, bands) of rows whose key may be in the bitmap; one for each key."""
+def candidate_sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """(shingles, bands, and the columns of ``wanted``) of rows with a (key, set) of ``wanted``; repeated rows may come several times."""
+    n = wanted.count()
+    if 16 * n <= store.MOST_BITS:
+        bitmap = rows.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "key", bits_for(n)))
+        some = rows.where("key is not null")
+    else:  # too many for a bitmap: every text that may be one moves once
+        bitmap, some = None, rows.join(wanted.select("key").distinct(), "key", "left_semi")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, bytes]] = set()
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(in_bitmap(bitmap.value, keys.astype(np.int64)))
-            column = b.column(1).take(pa.array(some))
+            keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            maybe = np.flatnonzero(in_bitmap(bitmap.value, keys)) if bitmap else np.arange(len(keys))
+            column = b.column(1).take(pa.array(maybe))
             for i, h, at in _sets(column, k):
-                sig = band_keys(superminhash(h, at))
-                view = memoryview(h).cast("B")
+                sig, view, own = band_keys(superminhash(h, at)), memoryview(h).cast("B"), keys[maybe[i : i + len(at) - 1]].tolist()
+                sets = [view[8 * a : 8 * z] for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
+                digests, out = [_set_digest(x) for x in sets], []
+                for j, one in enumerate(zip(own, digests)):
+                    if len(sets[j]) and one not in sent:  # repeated rows of a task go no further
+                        if len(sent) >= 200_000:
+                            sent.clear()
+                        sent.add(one)
+                        out.append(j)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[some[i : i + len(at) - 1]].astype(np.int64)), pa.array([view[8 * a : 8 * z] for a, z in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    names=["key", "shingles", "bands"],
+                    [pa.array([own[j] for j in out], pa.int64()), pa.array([digests[j] for j in out], pa.binary()), pa.array([sets[j] for j in out], pa.binary()), pa.array([sig[j].tobytes() for j in out], pa.binary())],
+                    names=["key", "set", "shingles", "bands"],
                 )
 
-    return rows.where("key is not null").mapInArrow(lean(pick), "key long, shingles binary, bands binary").dropDuplicates(["key"])
+    return some.mapInArrow(lean(pick), "key long, set binary, shingles binary, bands binary").join(wanted, ["key", "set"])
+
 
+def _set_digest(shingle_bytes) -> bytes:
+    return hashlib.blake2b(shingle_bytes, digest_size=16).digest()
 
-def confirm(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among members of one block pair.
 
-    Only pairs that share a band are looked at, and within two different blocks
-    (``left`` tells them apart) only those across.  A link: 100 * intersection >=
-    percent * union.
+def confirm(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, known: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among members of one block or pair of blocks.
+
+    Only pairs that share a band and are of different ``known`` components are looked at,
+    and within two different blocks (``side`` tells them apart) only those across.  A
+    link: 100 * intersection >= percent * union.
     """
     n, size = len(ids), np.array([len(s) for s in sets])
     joined = UnionFind(n)
+    _, first, of = np.unique(known, return_index=True, return_inverse=True)
+    for x, y in enumerate(first[of].tolist()):
+        joined.join(x, y)
     if n <= 32:
         share = (bands[:, None, :] == bands[None, :, :]).any(2)
     else:
@@ -166,8 +193,9 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, left: np
         for b in range(bands.shape[1]):
             share |= bands[:, b, None] == bands[None, :, b]
     share &= np.arange(n)[:, None] < np.arange(n)[None, :]
-    if left.any() and not left.all():
-        share &= left[:, None] != left[None, :]
+    share &= of[:, None] != of[None, :]
+    if side.any() and not side.all():
+        share &= side[:, None] != side[None, :]
     # a link needs 100 * smaller >= percent * larger
     share &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
     a, b = np.nonzero(share)
@@ -203,33 +231,28 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, left: np
     return out
 
 
-def confirmed_links(members: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
-    """(src, dst) links of candidate groups; ``members`` has group, key, shingles, bands, ``groups`` group and key of the same rows."""
-    sizes = groups.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > block)
-    dealt = members.join(sizes, "group", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "shingles", "bands")
-    dealt = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "key")
+def checked(dealt: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) links confirmed in each block: rows of group, part, side, key, known, set, shingles, bands."""
+    dealt = dealt.select("group", "part", "key", "set", "side", "known", "shingles", "bands").repartition("group", "part").sortWithinPartitions("group", "part", "key", "set")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, [], []
 
         def close() -> None:
             if len(held) > 1:
-                ids = np.array([r[4] for r in held], np.int64)
-                sets = [np.frombuffer(r[5], np.uint64) for r in held]
-                bands = np.stack([np.frombuffer(r[6], np.int64) for r in held])
-                out.extend(confirm(ids, sets, bands, np.array([r[3] == now[1] for r in held]), percent))
+                ids, known = (np.array([r[c] for r in held], np.int64) for c in (2, 5))
+                sets, bands = [np.frombuffer(r[6], np.uint64) for r in held], np.stack([np.frombuffer(r[7], np.int64) for r in held])
+                out.extend(confirm(ids, sets, bands, np.array([r[4] for r in held]), known, percent))
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 for row in zip(*(c.to_pylist() for c in part.columns)):
-                    if row[:3] != now:
+                    if row[:2] != now:
                         close()
-                        now, held = row[:3], []
-                    held.append(row)
+                        now, held = row[:2], []
+                    if not held or row[2:4] != held[-1][2:4]:  # a repeated row
+                        held.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["src", "dst"])
                 out = []
@@ -237,7 +260,40 @@ def confirmed_links(members: DataFrame, groups: DataFrame, percent: int, block:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["src", "dst"])
 
-    return dealt.mapInArrow(lean(check), "src long, dst long")
+    return dealt.mapInArrow(lean(check), "src long, dst long").where("src <> dst")
+
+
+def _hashed(n, *salt):
+    return F.pmod(F.xxhash64(*salt, "key", "set"), F.greatest(F.lit(1), n)).cast("int")
+
+
+def within_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Rows (with ``members``, the size of their group) dealt to blocks of about ``block``."""
+    own = _hashed(F.ceil(F.col("members") / block))
+    return members.withColumns({"part": own.cast("string"), "side": F.lit(True), "known": F.monotonically_increasing_id()})
+
+
+def across_components(members: DataFrame, block: int) -> DataFrame:
+    """Rows (with ``known``, their component) dealt to pairs of blocks of different components of their group.
+
+    A component of more than ``block`` rows has blocks of its own; the small ones of a
+    group share blocks, whole, and are compared within these as well.
+    """
+    sizes = members.groupBy("group", "known").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > block)
+    small = sizes.where(F.col("n") <= block).groupBy("group").agg(F.sum("n").alias("small"))
+    # a row for each large component: at most members / block of a group
+    lists = large.groupBy("group").agg(F.collect_list(F.struct("known", F.ceil(F.col("n") / block).cast("int").alias("blocks"))).alias("lists"))
+    all_ = members.join(large.select("group", "known", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["group", "known"], "left").join(small, "group", "left").join(lists, "group", "left")
+    shared = F.coalesce(F.ceil(F.col("small") / block).cast("int"), F.lit(0))
+    name = lambda known, at: F.concat(F.coalesce(known.cast("string"), F.lit("")), F.lit("/"), at.cast("string"))
+    is_large = F.col("blocks").isNotNull()
+    own = F.when(is_large, name(F.col("known"), _hashed(F.col("blocks")))).otherwise(name(F.lit(None), F.pmod(F.xxhash64("known"), F.greatest(F.lit(1), shared))))
+    others = F.filter(F.coalesce("lists", F.array().cast("array<struct<known:bigint,blocks:int>>")), lambda x: ~is_large | (x["known"] != F.col("known")))
+    partners = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda i: name(x["known"], i))))
+    mixed = F.when(shared > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), shared - 1)), lambda i: name(F.lit(None), i))).otherwise(F.array().cast("array<string>"))
+    dealt = all_.withColumn("own", own).withColumn("other", F.explode(F.concat(partners, mixed)))
+    return dealt.withColumns({"part": F.concat(F.least("own", "other"), F.lit("|"), F.greatest("own", "other")), "side": F.col("own") <= F.col("other")})
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = 128) -> DataFrame:
@@ -245,21 +301,40 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     folder = shared_dir(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = saved(signatures(rows, k), f"{folder}/signed")
+    real = signed.where("set is not null and key is not null")
     # equal sets: one class, whose smallest id stands for it
-    classes = signed.where("set is not null and key is not null").groupBy("set").agg(F.min("key").alias("rep"))
-    chosen = saved(signed.join(classes, F.col("key") == F.col("rep"), "left_semi").select("key", "bands").dropDuplicates(["key"]), f"{folder}/chosen")
+    classes = real.groupBy("set").agg(F.min("key").alias("rep"))
+    first = classes.select("set", F.col("rep").alias("key"))
+    chosen = saved(real.join(first, ["key", "set"], "left_semi").select("key", "set", "bands").dropDuplicates(["key", "set"]), f"{folder}/chosen")
     keys = chosen.select("key", F.explode("bands").alias("band"))
     buckets = keys.groupBy("band").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
     ties = keys.join(buckets, "band").where("key <> low").select(F.col("key").alias("src"), F.col("low").alias("dst"))
     groups = components(ties)
     member = groups.select(F.col("vertex").alias("key"), F.col("component").alias("group")).unionByName(groups.select(F.col("component").alias("key"), F.col("component").alias("group")).distinct())
-    member = saved(member, f"{folder}/member")
-    bitmap = df.sparkSession.sparkContext.broadcast(key_bitmap(member, "key"))
-    members = candidate_sets(rows, k, bitmap).join(member, "key")
-    found = components(confirmed_links(members, member, percent, block), contracted=True)
+    member = saved(chosen.select("key", "set").join(member, "key"), f"{folder}/member")
+    sizes = member.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > block)
+    sized = member.join(sizes, "group", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    # an id with several texts is one document: its classes are linked
+    several = real.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b").select("key")
+    same = real.join(several, "key").select("key", "set").distinct().join(classes, "set").where("key <> rep").select(F.col("key").alias("src"), F.col("rep").alias("dst"))
+    links = checked(within_blocks(candidate_sets(rows, k, sized), block), percent).unionByName(same)
+    found = components(links, contracted=True)
+    found = _across(rows, k, percent, block, member.join(sizes.select("group"), "group"), found, folder)
     # every class member follows its representative; every document its component
     of_rep = classes.join(found, F.col("rep") == F.col("vertex"), "left").select("set", F.coalesce("component", "rep").alias("component_id"))
     alone = F.concat(F.lit("empty:"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary")  # texts without shingles do not meet in one task
     out = signed.select("key", "n_shingles", F.coalesce("set", alone).alias("set")).join(of_rep, "set", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "key"))
+    out = out.withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _across(rows: DataFrame, k: int, percent: int, block: int, large: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """Components after comparing, in groups of several blocks (``large``: group, key, set), those components that differ."""
+    known = large.join(found, F.col("key") == F.col("vertex"), "left").select("group", "key", "set", F.coalesce("component", "key").alias("known"))
+    split = known.groupBy("group").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("group")
+    open_ = saved(known.join(split, "group"), f"{folder}/open")
+    if open_.isEmpty():
+        return found
+    more = checked(across_components(candidate_sets(rows, k, open_), block), percent)
+    old = found.select(F.col("vertex").alias("src"), F.col("component").alias("dst"))
+    return components(old.unionByName(more), contracted=True)

@@ -1,4 +1,4 @@
-"""Shared working folders, written tables and fixed-size key bitmaps."""
+"""Shared working folders, written tables and key bitmaps of bounded size."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITMAP_BITS = 1 << 24
+MOST_BITS = 1 << 29
 _OWN: list[tuple[SparkSession, str]] = []
 
 
@@ -73,19 +73,18 @@ def remove_unfinished(fs, root: str) -> None:
             fs.delete_file(f.path)
 
 
-def bit_of(key, bits: int = BITMAP_BITS):
-    """Column: the bit of a 64-bit key."""
-    return F.pmod(key, F.lit(bits))
+def bits_for(n: int) -> int:
+    """Bits of a bitmap for ``n`` keys, at which at most 1 in 16 other keys passes; at most ``MOST_BITS`` (64 MB)."""
+    return min(MOST_BITS, 1 << max(15, (16 * n - 1).bit_length()))
 
 
-def key_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Fixed-size bitmap of 64-bit keys: bit ``key mod bits`` is set for each.
+def key_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bitmap of 64-bit keys: bit ``key mod bits`` is set for each.
 
-    The result has ``bits / 8`` bytes whatever the number of keys, so it can be
-    sent everywhere; a set bit only means "perhaps", and users of it keep an exact
-    join behind it.
+    The result has ``bits / 8`` bytes whatever the number of keys, so it can be sent
+    everywhere; a set bit only means "perhaps", and users of it keep an exact join behind it.
     """
-    bit = bit_of(F.col(column), bits)
+    bit = F.pmod(F.col(column), F.lit(bits))
     rows = (
         keys.select(bit.alias("bit"))
         .groupBy(F.floor(F.col("bit") / 32768).alias("bucket"))

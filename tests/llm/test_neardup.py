@@ -74,7 +74,7 @@ def test_large_group_of_near_copies_in_blocks(spark):
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, None), (1, "a b c d"), (1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=str)
-    assert got == sorted([(None, 1, 1, True), (None, 0, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)], key=str)
+    assert got == sorted([(None, 1, None, True), (None, 0, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)], key=str)
 
 
 def test_superminhash_estimates_similarity():
@@ -121,3 +121,57 @@ def test_components(spark):
     shared_dir(spark)
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == want
+
+
+def test_smallest_and_largest_ids(spark):
+    low, high = -(2**63), 2**63 - 1
+    df = spark.createDataFrame([(low, "a b c d e f g h"), (high, "a b c d e f g h"), (0, "a b c d e f g h"), (5, docs.LONG), (high - 1, docs.LONG + " tail")], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(df, k=3, percent=85).collect()}
+    assert got == {low: (low, True), high: (low, False), 0: (low, False), 5: (5, True), high - 1: (5, False)}
+
+
+def test_equal_ids_with_different_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta " * 3, docs.BODY, docs.LONG)
+    rows = [(5, a), (7, a), (7, b), (9, b), (9, c), (11, c + " tail"), (13, "quite another text of some words")]
+    for n in (1, 4):
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), k=3, percent=85).collect())
+        assert got == [(5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False), (9, 5, False), (11, 5, False), (13, 13, True)]
+
+
+def test_hot_id_with_different_texts(spark):
+    rng = random.Random(5)
+    texts = [docs.BODY + f" {rng.randrange(9)} {i}" for i in range(300)]
+    df = spark.createDataFrame([(1, t) for t in texts] + [(2, texts[7]), (3, "some other words stand here alone")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(df, k=3, percent=85, block=32).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_large_groups_that_stay_apart_in_part(spark):
+    """Copies of a few templates that share bands but not enough: several components in one candidate group."""
+    rng, texts = random.Random(8), []
+    base = [f"w{i}" for i in range(160)]
+    for share in (0, 14, 22, 30):
+        own = base[share:] + [f"t{share}x{i}" for i in range(share)]
+        for _ in range(90):
+            w = list(own)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    got = result(near_duplicates(docs.frame(spark, texts), k=3, percent=85, block=16))
+    assert got == brute(texts, 3, 85)
+
+
+def test_without_a_bitmap_the_same(spark, sf, monkeypatch):
+    from leafledger.llm import store
+
+    whole = result(near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")))
+    monkeypatch.setattr(store, "MOST_BITS", 1 << 4)
+    assert result(near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))) == whole
+
+
+def test_only_candidates_move(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as key", "text")
+    signed = neardup.signatures(rows, 5)
+    wanted = signed.where("set is not null and key % 10 = 0").select("key", "set")
+    n = wanted.count()
+    assert neardup.candidate_sets(rows, 5, wanted).count() == n
