@@ -12,14 +12,15 @@
     pairs are made.
 4.  Shingle sets of candidates only are made again (they are chosen by a bitmap with 16
     bits a candidate, or by a join if that had more than 64 MB, and by an exact join) and
-    dealt by group.  A group of over ``block`` classes is dealt to blocks by hash.  In
-    a block, pairs that share a band and are not yet known to be connected are
-    confirmed on the full sets by exact intersection counts, and a spanning forest of
-    the confirmed links is returned.
-5.  Union-find over the confirmed links gives components.  Where a group of several
-    blocks is not one component yet, its rows are dealt once more, components to blocks
-    of their own, and only blocks of different components are compared: work grows with
-    what is not connected, not with the square of a group of copies.
+    dealt by group.  A group of over ``block`` classes is dealt to blocks by hash, and
+    blocks are compared in pairs; one of over ``fan_out`` blocks is compared within its
+    blocks, all of which also get a few pivot rows of the group.  Pairs that share a band
+    and are not yet known to be connected are confirmed on the full sets by exact
+    intersection counts, and a spanning forest of the confirmed links is returned.
+5.  Union-find over the confirmed links gives components.  Where a group of over
+    ``fan_out`` blocks is not one component yet, its rows are dealt once more, components
+    to blocks of their own, and only blocks of different components are compared: work
+    grows with what is not connected, not with the square of a group of copies.
 6.  Union-find over all links gives the result.
 
 With 25 bands of 5 registers a pair at similarity 0.85 shares no band with probability
@@ -47,6 +48,7 @@ from .store import bits_for, in_bitmap, key_bitmap, saved, shared_dir
 from .text import Words, buffers, lean, mix, shingles, slices
 
 BANDS, ROWS = 25, 5
+FAN_OUT, PIVOTS = 16, 8
 _M = BANDS * ROWS
 _EMPTY = np.uint64(2**63)
 
@@ -267,10 +269,20 @@ def _hashed(n, *salt):
     return F.pmod(F.xxhash64(*salt, "key", "set"), F.greatest(F.lit(1), n)).cast("int")
 
 
-def within_blocks(members: DataFrame, block: int) -> DataFrame:
-    """Rows (with ``members``, the size of their group) dealt to blocks of about ``block``."""
-    own = _hashed(F.ceil(F.col("members") / block))
-    return members.withColumns({"part": own.cast("string"), "side": F.lit(True), "known": F.monotonically_increasing_id()})
+def first_blocks(members: DataFrame, block: int, fan_out: int) -> DataFrame:
+    """Rows (with ``members``, the size of their group) dealt to blocks of about ``block``.
+
+    In groups of up to ``fan_out`` blocks each row goes to all pairs of its block and
+    another.  In larger ones it goes to its block, and about ``PIVOTS`` rows of the group,
+    chosen by hash, to all blocks, so that blocks of one group of copies get linked.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / block)).cast("int")
+    pivot = F.pmod(F.xxhash64(F.lit("pivot"), "key", "set"), F.col("members")) < PIVOTS
+    rows = members.withColumns({"own": _hashed(F.ceil(F.col("members") / block)), "known": F.monotonically_increasing_id()})
+    all_ = F.sequence(F.lit(0), blocks - 1)
+    rows = rows.withColumn("other", F.explode(F.when((blocks <= fan_out) | pivot, all_).otherwise(F.array("own"))))
+    pair = F.concat(F.least("own", "other").cast("string"), F.lit("|"), F.greatest("own", "other").cast("string"))
+    return rows.withColumns({"part": F.when(blocks <= fan_out, pair).otherwise(F.col("other").cast("string")), "side": (blocks > fan_out) | (F.col("own") <= F.col("other"))})
 
 
 def across_components(members: DataFrame, block: int) -> DataFrame:
@@ -296,7 +308,7 @@ def across_components(members: DataFrame, block: int) -> DataFrame:
     return dealt.withColumns({"part": F.concat(F.least("own", "other"), F.lit("|"), F.greatest("own", "other")), "side": F.col("own") <= F.col("other")})
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = 128) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = 128, fan_out: int = FAN_OUT) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept (the component's smallest id)."""
     folder = shared_dir(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -314,12 +326,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     member = saved(chosen.select("key", "set").join(member, "key"), f"{folder}/member")
     sizes = member.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > block)
     sized = member.join(sizes, "group", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    large = sizes.where(F.col("members") > block * fan_out).select("group")
     # an id with several texts is one document: its classes are linked
     several = real.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b").select("key")
     same = real.join(several, "key").select("key", "set").distinct().join(classes, "set").where("key <> rep").select(F.col("key").alias("src"), F.col("rep").alias("dst"))
-    links = checked(within_blocks(candidate_sets(rows, k, sized), block), percent).unionByName(same)
+    links = checked(first_blocks(candidate_sets(rows, k, sized), block, fan_out), percent).unionByName(same)
     found = components(links, contracted=True)
-    found = _across(rows, k, percent, block, member.join(sizes.select("group"), "group"), found, folder)
+    if not large.isEmpty():
+        found = _across(rows, k, percent, block, member.join(large, "group"), found, folder)
     # every class member follows its representative; every document its component
     of_rep = classes.join(found, F.col("rep") == F.col("vertex"), "left").select("set", F.coalesce("component", "rep").alias("component_id"))
     alone = F.concat(F.lit("empty:"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary")  # texts without shingles do not meet in one task

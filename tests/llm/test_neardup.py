@@ -157,8 +157,9 @@ def test_large_groups_that_stay_apart_in_part(spark):
             for _ in range(rng.randrange(0, 3)):
                 w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
             texts.append(" ".join(w))
-    got = result(near_duplicates(docs.frame(spark, texts), k=3, percent=85, block=16))
-    assert got == brute(texts, 3, 85)
+    want = brute(texts, 3, 85)
+    for fan_out in (1, 3, 100):
+        assert result(near_duplicates(docs.frame(spark, texts), k=3, percent=85, block=16, fan_out=fan_out)) == want
 
 
 def test_without_a_bitmap_the_same(spark, sf, monkeypatch):
