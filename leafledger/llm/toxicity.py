@@ -1,24 +1,29 @@
-"""Toxicity by class-conditional Kneser-Ney models over the bytes of words.
-
-A word is a run of lower-cased bytes that starts at a space; what stands before the word
-is no context.  For each class, (context of up to ORDER - 1 bytes, byte) is counted once
-for each document; the counts are discounted, and the discounted mass goes to a
-Kneser-Ney distribution of the next lower order whose continuation counts are pooled
-over both classes, so an expression that neither class knows says nothing.  The log
-ratio of the two models is moved towards 0 by ``CAUTION`` standard errors of its
-counts, and a single byte can speak for "ordinary" with ``LEAST`` at most.  A text's
-evidence is the mean of these ratios over its word bytes; a logistic curve, fitted on
-evidence that each of ``FOLDS`` folds of the training rows gets from the others' counts, turns
-it into a score.
-
-Only ``per_class`` labelled rows of each class at most are used for fitting (those with
-the smallest hashes of their ids); every row is scored on its whole text.  Labels,
+"""Toxicity by class-conditional Kneser-Ney models over bytes.
+
+Texts are lower-cased and runs of white space become one space; contexts of up to
+``ORDER - 1`` bytes go over the ends of words, so expressions of several words are
+modelled.  For each class and each order up to ``ORDER``, (context, byte) is counted once
+for each document; counts are discounted, and the discounted mass goes to the model of the
+next lower order.  What both classes share is one Kneser-Ney model with continuation
+counts pooled over them; a class differs from it by a log ratio of the classes at each
+order.  That ratio moves from the one of the lower order only by what exceeds ``CAUTION``
+standard errors of the counts, so rare expressions are smoothed through the shared
+counts, and it speaks for "ordinary" with ``LEAST`` at most.  An expression that neither
+class knows has the probabilities of its longest known end.
+
+A text has two length-normalised log-likelihoods, the means over its bytes in either
+model.  Their difference is its evidence; a logistic curve, fitted on evidence that each
+of ``FOLDS`` folds of the training rows gets from the others' counts, turns it into a score.
+
+Only ``per_class`` labelled ids of each class at most are used for fitting (those with
+the smallest hashes), with one text each; every row is scored on its whole text.  Labels,
 language, source and id are no input of a score.
 
 Null and empty texts have no evidence and get the score at evidence 0, at most 0.49.
-A row whose label is null does not take part in fitting; with no toxic or no ordinary
-training rows every score is 0.  Rows are scored one by one, so repeated rows get equal
-scores.
+A row whose label is null does not take part in fitting, an id with several labels counts
+as toxic if one is, one with several texts has the text with the smallest hash; with no
+toxic or no ordinary training rows every score is 0.  Rows are scored one by one, so
+repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -30,88 +35,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Table, Words, buffers, lean, slices
+from .store import saved, shared_dir
+from .text import LOWER, SPACE, Table, buffers, lean, slices
 
-ORDER = 6
+ORDER = 5
 PER_CLASS = 3000
 DISCOUNT = 0.75
-CAUTION = 1.5
+CAUTION = 2.0
 LEAST = -1.0
-FOLDS = 4
+FOLDS = 8
+_UNKNOWN = float(np.log(1 / 256))
+_BITS = 48
 
 
 def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams as integers, document of each): one for each byte of each word."""
-    w = Words(data, at, hashed=False)
-    n = len(w.data)
-    inside = np.zeros(n + 1, np.int8)
-    inside[w.start] += 1
-    inside[w.end] -= 1
-    begin = np.zeros(n, np.int64)
-    begin[w.start] = w.start
-    np.maximum.accumulate(begin, out=begin)
-    place = np.flatnonzero(np.cumsum(inside[:n], dtype=np.int8))
-    depth = place - begin[place]
-    key = w.data[place].astype(np.uint64)
+    """(n-grams as integers, document of each): one for each byte, the first byte of a text after a space."""
+    raw = np.frombuffer(data[at[0] : at[-1]].tobytes().translate(LOWER), np.uint8)
+    space = SPACE[raw]
+    first = np.zeros(len(raw) + 1, bool)
+    first[at - at[0]] = True
+    keep = ~space
+    keep[1:] |= ~(space[:-1] | first[1:-1])
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[keep]
+    raw = np.where(space, 32, raw)[keep].astype(np.uint64)
+    begin = np.searchsorted(doc, np.arange(len(at) - 1))
+    place = np.arange(len(raw)) - begin[doc]
+    key = raw.copy()
     for k in range(1, ORDER):
-        byte = w.data[np.maximum(place - k, 0)].astype(np.uint64)
-        byte[depth < k] = 0
-        byte[depth == k - 1] = 32
+        byte = np.full(len(raw), 32, np.uint64)
+        byte[k:] = raw[:-k] if k < len(raw) else raw[:0]
+        byte[place < k] = 32
         key |= byte << np.uint64(8 * k)
-    return key, np.searchsorted(w.offsets, place, "right") - 1
-
-
-def _shared(grams: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probability of the last byte of each distinct n-gram given the bytes
-    before it but the first, from continuation counts (distinct n-grams, both classes pooled)."""
-    probability = np.full(len(grams), 1 / 256)
-    types = grams
-    chain = []  # for orders ORDER - 1 down to 1: (distinct grams, continuation counts)
-    for order in range(ORDER - 1, 0, -1):
-        lower = types & np.uint64((1 << (8 * order)) - 1)
-        u, c = np.unique(lower, return_counts=True)
-        chain.append((order, u, c.astype(float)))
-        types = u
-    for order, u, c in reversed(chain):
-        context = u >> np.uint64(8)
-        cu, inverse = np.unique(context, return_inverse=True)
-        total = np.bincount(inverse, weights=c)
-        kinds = np.bincount(inverse)
-        own = grams & np.uint64((1 << (8 * order)) - 1)
-        k = np.searchsorted(u, own)
-        j = inverse[k]
-        probability = np.maximum(c[k] - DISCOUNT, 0) / total[j] + DISCOUNT * kinds[j] / total[j] * probability
-    return probability
+    return key, doc
+
+
+def _end(grams: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` bytes, with the order in front so that ends of different orders differ."""
+    return grams & np.uint64((1 << 8 * order) - 1) | np.uint64(order << _BITS)
+
+
+def _discounted(grams: np.ndarray, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Log-probability of the last byte of each distinct n-gram, with ``base`` the log-probabilities of the next lower order."""
+    _, context = np.unique(grams >> np.uint64(8), return_inverse=True)
+    total = np.bincount(context, weights=counts)
+    left = np.where(total > 0, DISCOUNT * np.bincount(context, weights=counts > 0) / np.maximum(total, 1), 1.0)
+    return np.log(np.maximum(counts - DISCOUNT, 0) / np.maximum(total[context], 1) + left[context] * np.exp(base))
 
 
 class Model:
-    """Log-likelihood ratios of n-grams; those that say nothing are left out."""
+    """Log-probabilities of known n-grams of all orders in both classes."""
 
-    def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        """Distinct n-grams with the numbers of documents of either class that have them."""
+    def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, share: float):
+        """Distinct n-grams of all orders (see ``_end``) with the numbers of documents of either class that have them; ``share`` of these is toxic."""
         order = np.argsort(grams)
-        grams, counts = grams[order], (ordinary[order].astype(float), toxic[order].astype(float))
-        shared = _shared(grams)
-        _, inverse = np.unique(grams >> np.uint64(8), return_inverse=True)
-        log = []
-        for c in counts:
-            total = np.bincount(inverse, weights=c)
-            left = np.where(total > 0, DISCOUNT * np.bincount(inverse, weights=c > 0) / np.maximum(total, 1), 1.0)
-            own = np.maximum(c - DISCOUNT, 0) / np.maximum(total[inverse], 1)
-            log.append(np.log(own + left[inverse] * shared))
-        ratio = log[1] - log[0]
-        error = np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
-        ratio = np.maximum(LEAST, np.sign(ratio) * np.maximum(0, np.abs(ratio) - CAUTION * error))
-        self.grams = Table(grams[ratio != 0], ratio[ratio != 0].astype(np.float32))
+        grams, toxic, ordinary = grams[order], toxic[order].astype(float), ordinary[order].astype(float)
+        at = np.searchsorted(grams, [np.uint64(k << _BITS) for k in range(1, ORDER + 2)])
+        pooled, ratio = np.zeros(len(grams)), np.zeros(len(grams))
+        for k in range(1, ORDER + 1):
+            own = slice(at[k - 1], at[k])
+            u, t, o = grams[own], toxic[own], ordinary[own]
+            if k == 1:
+                base, less = np.full(len(u), _UNKNOWN), np.zeros(len(u))
+            else:
+                lower = at[k - 2] + np.searchsorted(grams[at[k - 2] : at[k - 1]], _end(u, k - 1))
+                base, less = pooled[lower], ratio[lower]
+            longer = np.unique(_end(grams[at[k] : at[k + 1]], k), return_counts=True)[1] if k < ORDER else t + o
+            base_o = base - np.log(share * np.exp(less) + 1 - share)
+            pooled[own] = _discounted(u, longer, base)
+            step = _discounted(u, t, base_o + less) - _discounted(u, o, base_o) - less
+            error = np.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))
+            ratio[own] = np.maximum(LEAST, less + np.sign(step) * np.maximum(0, np.abs(step) - CAUTION * error))
+        self.grams = Table(grams, np.arange(1, len(grams) + 1, dtype=np.float32))
+        # the pooled probability is the mean of both classes' by their shares
+        log_o = pooled - np.log(share * np.exp(ratio) + 1 - share)
+        self.toxic, self.ordinary = (np.concatenate(([_UNKNOWN], x)) for x in (log_o + ratio, log_o))
         self.slope, self.bias = 1.0, 0.0
 
-    def evidence(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        """(first row, mean log-likelihood ratio) for runs of rows."""
+    def known(self, grams: np.ndarray) -> np.ndarray:
+        """Number of the longest known end of each n-gram, 0 if there is none."""
+        out, rest = np.zeros(len(grams), np.int64), np.arange(len(grams))
+        for k in range(ORDER, 0, -1):
+            out[rest] = self.grams.get(_end(grams[rest], k)).astype(np.int64)
+            rest = rest[out[rest] == 0]
+        return out
+
+    def likelihoods(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, length-normalised log-likelihood in the toxic and in the ordinary model) for runs of rows; 0 for empty texts."""
         data, at = buffers(column)
         for i, j in slices(at, 1 << 19):
             keys, doc = _grams(data, at[i : j + 1])
-            value = self.grams.get(keys)
-            yield i, np.bincount(doc, weights=value, minlength=j - i) / np.maximum(1, np.bincount(doc, minlength=j - i))
+            known, n = self.known(keys), np.maximum(1, np.bincount(doc, minlength=j - i))
+            yield i, *(np.bincount(doc, weights=log[known], minlength=j - i) / n for log in (self.toxic, self.ordinary))
+
+    def evidence(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, toxic less ordinary log-likelihood)."""
+        for i, toxic, ordinary in self.likelihoods(column):
+            yield i, toxic - ordinary
 
     def score(self, evidence: np.ndarray, empty: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -40, 40)))
@@ -135,7 +154,7 @@ class Model:
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """Documents of rows (text, toxic, fold) by n-gram, class (bit 56) and fold (from bit 57)."""
+    """Documents of rows (text, toxic, fold) by n-gram of each order, class (bit 56) and fold (from bit 57)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,70 +162,71 @@ def count_grams(rows: DataFrame) -> DataFrame:
             label, fold = b.column(1).to_numpy().astype(np.uint64), b.column(2).to_numpy().astype(np.uint64)
             for i, j in slices(at, 1 << 19):
                 keys, doc = _grams(data, at[i : j + 1])
-                order = np.lexsort((keys, doc))
-                keys, doc = keys[order], doc[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                keys, doc = keys[new], doc[new]
-                tagged = keys | (label[i:j][doc] << np.uint64(56)) | (fold[i:j][doc] << np.uint64(57))
-                u, n = np.unique(tagged, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["tagged", "n"])
+                for k in range(1, ORDER + 1):
+                    own = _end(keys, k)
+                    order = np.lexsort((own, doc))
+                    own, d = own[order], doc[order]
+                    new = np.ones(len(own), bool)
+                    new[1:] = (own[1:] != own[:-1]) | (d[1:] != d[:-1])
+                    own, d = own[new], d[new]
+                    tagged = own | (label[i:j][d] << np.uint64(56)) | (fold[i:j][d] << np.uint64(57))
+                    u, n = np.unique(tagged, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["tagged", "n"])
 
     return rows.mapInArrow(lean(count), "tagged long, n long").groupBy("tagged").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, toxic_share: float = 0.5, per_class: int = PER_CLASS) -> Model | None:
-    """Fit on rows (id, text, toxic 0/1); None if a class has no rows.
+def fit(chosen: DataFrame, toxic_share: float = 0.5) -> Model | None:
+    """Fit on materialised rows (text, toxic 0/1, fold), whose number is bounded; None if a class has no rows.
 
     The curve is fitted on evidence that each of ``FOLDS`` folds gets from the others'
     counts, so that training texts do not vouch for themselves.
     """
-    ids = []
-    keyed = rows.where("toxic in (0, 1)").withColumn("h", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"))
-    for label in (0, 1):
-        ids.append(keyed.where(F.col("toxic") == label).orderBy("h", "id").limit(per_class).select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")))
-    chosen = ids[0].unionByName(ids[1]).persist()
-    try:
-        tagged = count_grams(chosen).toArrow()
-        tags, n = tagged.column("tagged").to_numpy().view(np.uint64), tagged.column("n").to_numpy()
-        label, fold, gram = tags >> np.uint64(56) & np.uint64(1), tags >> np.uint64(57), tags & np.uint64(2**48 - 1)
-        if not (label == 1).any() or not (label == 0).any():
-            return None
-
-        def model(keep: np.ndarray) -> Model:
-            u, inverse = np.unique(gram[keep], return_inverse=True)
-            return Model(u, np.bincount(inverse, weights=n[keep] * (label[keep] == 1)), np.bincount(inverse, weights=n[keep] * (label[keep] == 0)))
-
-        sc, evidence, labels = rows.sparkSession.sparkContext, [], []
-        for f in range(FOLDS):
-            other = fold != f
-            if not ((label == 1) & other).any() or not ((label == 0) & other).any():
-                other = np.ones(len(fold), bool)
-            part = sc.broadcast(model(other))
-            got = _evidence(chosen.where(F.col("fold") == f), part).toPandas()
-            evidence.append(got["evidence"].to_numpy())
-            labels.append(got["toxic"].to_numpy())
-            part.unpersist()
-        whole = model(np.ones(len(fold), bool))
-        whole.calibrate(np.concatenate(evidence), np.concatenate(labels), toxic_share)
-        return whole
-    finally:
-        chosen.unpersist()
-
-
-def _evidence(rows: DataFrame, model) -> DataFrame:
+    tagged = count_grams(chosen.select("text", "toxic", "fold")).toArrow()
+    tags, n = tagged.column("tagged").to_numpy().view(np.uint64), tagged.column("n").to_numpy()
+    label, fold, gram = tags >> np.uint64(56) & np.uint64(1), tags >> np.uint64(57), tags & np.uint64(2**56 - 1)
+    if not (label == 1).any() or not (label == 0).any():
+        return None
+
+    rows = {(r["fold"], r["toxic"]): r["count"] for r in chosen.groupBy("fold", "toxic").count().collect()}
+
+    def model(keep: np.ndarray, without: int | None = None) -> Model:
+        u, inverse = np.unique(gram[keep], return_inverse=True)
+        t, o = (sum(c for (f, y), c in rows.items() if y == want and f != without) for want in (1, 0))
+        return Model(u, *(np.bincount(inverse, weights=n[keep] * (label[keep] == y)) for y in (1, 0)), t / (t + o))
+
+    def without(f: int) -> Model:
+        other = fold != f
+        if not ((label == 1) & other).any() or not ((label == 0) & other).any():
+            return model(np.ones(len(fold), bool))
+        return model(other, f)
+
+    parts = chosen.sparkSession.sparkContext.broadcast([without(f) for f in range(FOLDS)])
+    got = _evidence(chosen, parts).toPandas()  # a number for each of the bounded rows
+    parts.unpersist()
+    whole = model(np.ones(len(fold), bool))
+    whole.calibrate(got["evidence"].to_numpy(), got["toxic"].to_numpy(), toxic_share)
+    return whole
+
+
+def _evidence(rows: DataFrame, models) -> DataFrame:
+    """Evidence of rows (text, toxic, fold), each from the model that lacks its fold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, e in model.value.evidence(b.column(0)):
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, len(e)), pa.array(e)], names=["toxic", "evidence"])
+            fold = b.column(2).to_numpy()
+            for f in np.unique(fold).tolist():
+                own = pa.array(np.flatnonzero(fold == f))
+                for i, e in models.value[f].evidence(b.column(0).take(own)):
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(own).slice(i, len(e)), pa.array(e)], names=["toxic", "evidence"])
 
-    return rows.select("text", "toxic").mapInArrow(lean(run), "toxic int, evidence double")
+    return rows.select("text", "toxic", "fold").mapInArrow(lean(run), "toxic int, evidence double")
 
 
 def score_toxicity(df: DataFrame, model: Model | None, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row, with ``score`` and ``predicted``."""
+    """``columns`` of every row, with ``score``, ``predicted`` and the two log-likelihoods a byte."""
     if model is None:
-        return df.select(*columns).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
+        return df.select(*columns).withColumns({"score": F.lit(0.0), "predicted": F.lit(0), "toxic_ll": F.lit(0.0), "ordinary_ll": F.lit(0.0)})
     sent = df.sparkSession.sparkContext.broadcast(model)
     kept = df.select(F.col(text).alias("_text_"), *columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:])
@@ -214,13 +234,14 @@ def score_toxicity(df: DataFrame, model: Model | None, columns: list[str], text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             empty = np.diff(buffers(b.column(0))[1]) == 0
-            for i, e in sent.value.evidence(b.column(0)):
-                p = sent.value.score(e, empty[i : i + len(e)])
+            for i, toxic, ordinary in sent.value.likelihoods(b.column(0)):
+                p = sent.value.score(toxic - ordinary, empty[i : i + len(toxic)])
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).slice(i, len(e)) for k in range(1, b.num_columns)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*b.schema.names[1:], "score", "predicted"]
+                    [*(b.column(k).slice(i, len(p)) for k in range(1, b.num_columns)), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(toxic), pa.array(ordinary)],
+                    names=[*b.schema.names[1:], "score", "predicted", "toxic_ll", "ordinary_ll"],
                 )
 
-    return kept.mapInArrow(lean(run), f"{schema}, score double, predicted int")
+    return kept.mapInArrow(lean(run), f"{schema}, score double, predicted int, toxic_ll double, ordinary_ll double")
 
 
 def filter_toxic(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -248,10 +269,12 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     """Fit on the labelled documents that are not held out."""
     marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("toxic")).where(~held_out("id"))
     n = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
-    # choose by id first, so that only the chosen texts move
+    # ids are chosen first, then one text hash for each, so that only chosen texts move
     chosen = None
     for y in (0, 1):
         part = marked.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    return fit(rows, n.get(1, 0) / max(1, sum(n.values())), per_class)
+    rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    one = rows.select("id", "h").join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("h").alias("h"), F.max("toxic").cast("int").alias("toxic"))
+    texts = rows.join(F.broadcast(one), ["id", "h"]).dropDuplicates(["id", "h"]).select("text", "toxic", F.pmod(F.xxhash64("id", "h"), F.lit(FOLDS)).cast("int").alias("fold"))
+    return fit(saved(texts, shared_dir(documents.sparkSession)), n.get(1, 0) / max(1, sum(n.values())))

@@ -36,13 +36,3 @@ def test_no_labels_and_no_documents(spark, tmp_path):
     path = labelled(spark, tmp_path / "a", docs.TEXTS, [(1, 1, 0)])
     assert {r.score for r in op2_toxicity(spark, path).collect()} == {0.0}
     assert op2_toxicity(spark, labelled(spark, tmp_path / "b", [], [(1, 1, 0)])).count() == 0
-
-
-def test_shared_backoff_is_a_distribution():
-    import pyarrow as pa
-
-    data, at = toxicity.buffers(pa.array(["banana bandana cabana", "bad bandit"]))
-    grams = np.unique(toxicity._grams(data, at)[0])
-    p = toxicity._shared(grams)
-    context = grams >> np.uint64(8)
-    assert ((p > 0) & (p <= 1)).all() and all(p[context == c].sum() <= 1 + 1e-9 for c in np.unique(context))
