@@ -48,7 +48,7 @@ from .store import bits_for, in_bitmap, key_bitmap, saved, shared_dir
 from .text import Words, buffers, lean, mix, shingles, slices
 
 BANDS, ROWS = 25, 5
-FAN_OUT, PIVOTS = 16, 8
+FAN_OUT, PIVOTS = 32, 8
 _M = BANDS * ROWS
 _EMPTY = np.uint64(2**63)
 
