@@ -10,8 +10,10 @@ is planned as well, and the plan with fewer sequences is taken.
 
 The plan is a list of runs "pieces of this length with these ranks go to these
 sequences at this offset".  A piece's rank within its length comes from a window over
-(length, salt), so a length that a third of all pieces share is spread over
-``SALTS`` tasks, and from the counts of the salts before it.
+(length, salt) and from the counts of the salts before it; a length has a salt for each
+``GROUP`` of its pieces, drawn without regard to their keys, so neither a common length
+nor a common key makes a large task.  Pieces that fill a sequence, the bulk of long
+documents, need no rank: each is its own sequence.
 
 Null texts are documents of the end id alone.  Documents of ``capacity`` ids or fewer
 are never cut.  Equal rows are packed separately.  An empty table packs to nothing.
@@ -25,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import saved, shared_dir
-from .text import lean
+from .text import lean, mix
 from .tokens import encoder
 
-SALTS = 64
+GROUP = 1 << 18
 _PIECE = "key long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -184,10 +187,10 @@ def plan(hist: np.ndarray, bins: int = 64, depth: int = 4) -> Plan:
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
-    """One row for each piece of each document: key, piece, start, length, ids_crc32."""
+    """One row for each piece of each document: key, piece, start, length, ids_crc32, and ``spread``, a hash of its place in the input."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code, at_row = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for b in batches:
             keys = b.column(0).to_pylist()
             for first, ids, at in code.encode(b.column(1), end_id):
@@ -196,32 +199,42 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_
                     for p, s in enumerate(range(a, z, capacity)):
                         e = min(z, s + capacity)
                         rows.append((keys[first + k], p, s - a, e - s, zlib.crc32(view[4 * s : 4 * e])))
+                spread = mix(np.arange(at_row, at_row + len(rows), dtype=np.uint64)) >> np.uint64(1)
+                at_row += len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "piece", "start", "length", "ids_crc32"]
+                    [*(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))), pa.array(spread.astype(np.int64))],
+                    names=["key", "piece", "start", "length", "ids_crc32", "spread"],
                 )
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(lean(cut), _PIECE)
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(lean(cut), f"{_PIECE}, spread long")
 
 
-def pack(cut: DataFrame, capacity: int = 4096, **settings) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096, group: int = GROUP, **settings) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to materialised pieces."""
-    salt = F.pmod(F.xxhash64("key", "piece"), F.lit(SALTS)).cast("int")
-    salted = cut.withColumn("salt", salt)
-    counts = np.zeros((capacity + 1, SALTS), np.int64)  # capacity x SALTS numbers at most, whatever the input
-    for r in salted.groupBy("length", "salt").count().collect():
-        counts[r[0], r[1]] = r[2]
-    packed = plan(counts.sum(1), **settings)
-    base = np.cumsum(counts, axis=1) - counts
+    hist = np.zeros(capacity + 1, np.int64)
+    for r in cut.groupBy("length").count().collect():  # at most ``capacity`` rows
+        hist[r[0]] = r[1]
+    hist[capacity] = 0  # whole sequences
+    packed = plan(hist, **settings)
+    salts = np.maximum(1, -(-hist // group))
+    part = cut.where(F.col("length") < capacity)
+    salted = part.withColumn("salt", F.pmod(F.col("spread"), F.get(F.lit(salts.tolist()), F.col("length").cast("int"))).cast("int"))
+    begin = np.cumsum(salts) - salts
+    counts = np.zeros(int(salts.sum()), np.int64)
+    for r in salted.groupBy("length", "salt").count().collect() if group < hist.max() else []:  # a row for each ``group`` pieces and length
+        counts[begin[r[0]] + r[1]] = r[2]
+    base = np.cumsum(counts) - counts
+    base -= np.repeat(base[begin], salts)
     runs = np.array(sorted(packed.runs), np.int64).reshape(-1, 5)
     sc = cut.sparkSession.sparkContext
-    sent = sc.broadcast((base, runs))
+    sent = sc.broadcast((begin, base, runs))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, runs = sent.value
+        begin, base, runs = sent.value
         order = (runs[:, 0] << 44) + runs[:, 1]
         for b in batches:
             col = {n: b.column(n).to_numpy() for n in ("length", "salt", "rank")}
-            rank = base[col["length"], col["salt"]] + col["rank"] - 1
+            rank = base[begin[col["length"]] + col["salt"]] + col["rank"] - 1
             at = np.searchsorted(order, (col["length"] << 44) + rank, "right") - 1
             own = runs[at]
             yield pa.RecordBatch.from_arrays(
@@ -229,9 +242,10 @@ def pack(cut: DataFrame, capacity: int = 4096, **settings) -> DataFrame:
                 names=["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    w = Window.partitionBy("length", "salt").orderBy("key", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(w).cast("long"))
-    return ranked.mapInArrow(lean(place), f"{_PIECE}, sequence_id long, offset long")
+    w = Window.partitionBy("length", "salt").orderBy("key", "piece", "start", "ids_crc32", "spread")
+    ranked = salted.withColumn("rank", F.row_number().over(w).cast("long")).mapInArrow(lean(place), f"{_PIECE}, sequence_id long, offset long")
+    whole = cut.where(F.col("length") == capacity).drop("spread").withColumns({"sequence_id": F.monotonically_increasing_id() + packed.sequences, "offset": F.lit(0).cast("long")})
+    return ranked.unionByName(whole)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 4096, key: str = "doc_id", text: str = "text", end_id: int = 1, **settings) -> DataFrame:

@@ -164,3 +164,23 @@ def test_dealing_depends_on_rows_alone(spark):
     rows = [(i * 7919 % 1000, i, 100 + i % 50) for i in range(3000)]
     a, b = (ranges.find_cuts(spark.createDataFrame(rows, "key long, tie long, size long").repartition(n), 5_000) for n in (2, 7))
     assert (a.begin == b.begin).all() and (a.first == b.first).all() and a.shards > 30
+
+
+def test_packing_mostly_whole_sequences_and_a_hot_key(spark):
+    long = " ".join(f"w{i % 50}" for i in range(12_000))
+    rows = [(i % 3, long) for i in range(40)] + [(7, "the same short text")] * 60 + [(-(2**63), "x y"), (2**63 - 1, None), (None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cut = packing.saved(packing.pieces(df, default_tokenizer()), packing.shared_dir(spark))
+    got = packing.pack(cut, group=7).collect()
+    assert sum(r.length for r in got) == sum(len(ids_of(t)) for _, t in rows)
+    assert sum(r.length == 4096 for r in got) >= 0.8 * sum(r.length > 20 for r in got)
+    by_seq = defaultdict(list)
+    for r in got:
+        by_seq[r.sequence_id].append(r)
+    for own in by_seq.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    assert len(by_seq) <= -(-sum(r.length for r in got) // 4096) + 40
