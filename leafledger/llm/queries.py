@@ -101,5 +101,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": pipeline, **{n: own[n] for n in names}}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL = {
+    "op3_superminhash": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+g AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 85 * (len(x.s) + len(y.s) - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(v, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.v WHERE r.root < u.b),
+c AS (SELECT v, min(root) AS root FROM r GROUP BY v)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM s JOIN c ON v = doc_id""",
+    "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), t AS (SELECT page_id, html, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS target FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN target = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN target <> page_id THEN target END AS refers_to FROM t""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of those queries that SQL can express."""
+    return dict(SQL)

@@ -55,3 +55,21 @@ def test_null_ids_and_extra_columns_pass(spark, tmp_path):
     bench(spark, []).write.parquet(f"{tmp_path}/benchmark.parquet")
     labels(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 3
+
+
+def test_contaminated_rows_go_whatever_their_ids(spark, tmp_path):
+    rows = [(None, ITEM, 1), (None, "clean words stand here", 2), (7, ITEM, 3), (7, "clean words under the same id", 4), (8, "tie", 5), (8, "tie", 6), (9, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    bench(spark, [(1, ITEM, 1)]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path))
+    assert kept.columns == df.columns and sorted(r.row for r in kept.collect()) == [2, 4, 5, 6, 7]
+
+
+def test_repeated_ids_and_rows_through_all_stages(spark, tmp_path):
+    texts = ["one two three four five six seven eight", "nine ten eleven twelve words of another kind"]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (3, texts[0] + " and more"), (None, texts[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bench(spark, []).write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((str(r.doc_id), r.piece, r.length) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert {k for k, _, _ in got} >= {"1", "None"} and not [k for k, _, _ in got if k == "2"]
