@@ -4,9 +4,9 @@ A payload is cut where a rolling gear hash over the last 32 bytes has its top bi
 zero, between ``smallest`` and ``largest`` bytes.  Chunk digests are counted by one
 aggregation; a digest that occurs once keeps its bytes beside its chunk list, the
 others go to a chunk table with one row for each digest.  A bitmap of the
-repeated digests, with 16 bits for each and 64 MB at most, tells the storing pass which
+repeated digests, with 256 bits for each and 64 MB at most, tells the storing pass which
 chunks may be repeated; a false hit only puts a single chunk into the chunk table, so
-nothing depends on the bitmap for being right.  Where it fills up, beyond some 100 million
+nothing depends on the bitmap for being right.  Where it fills up, beyond some 10 million
 repeated digests, more and more single chunks take the way through the chunk table, at
 most one shuffle of all payloads.
 
@@ -123,7 +123,7 @@ def store_media(df: DataFrame, folder: str, key: str = "doc_id", payload: str =
     spark = df.sparkSession
     low = F.expr("conv(hex(reverse(substring(digest, 1, 8))), 16, -10)").cast("long")
     repeated = saved(repeated_digests(df, payload, **sizes).select(low.alias("k")), shared_dir(spark))
-    bitmap = spark.sparkContext.broadcast(key_bitmap(repeated, "k", bits_for(repeated.count())))
+    bitmap = spark.sparkContext.broadcast(key_bitmap(repeated, "k", bits_for(repeated.count(), 256)))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "row", "key", "n", "list", "body", "refs", "digest"]

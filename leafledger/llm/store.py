@@ -73,9 +73,9 @@ def remove_unfinished(fs, root: str) -> None:
             fs.delete_file(f.path)
 
 
-def bits_for(n: int) -> int:
-    """Bits of a bitmap for ``n`` keys, at which at most 1 in 16 other keys passes; at most ``MOST_BITS`` (64 MB)."""
-    return min(MOST_BITS, 1 << max(15, (16 * n - 1).bit_length()))
+def bits_for(n: int, each: int = 16) -> int:
+    """Bits of a bitmap for ``n`` keys, at which at most 1 in ``each`` other keys passes; at most ``MOST_BITS`` (64 MB)."""
+    return min(MOST_BITS, 1 << max(15, (each * n - 1).bit_length()))
 
 
 def key_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
