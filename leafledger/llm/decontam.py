@@ -3,12 +3,12 @@
 1.  Words are runs of letters and digits, lower-cased.  The vocabulary is that of the
     benchmark items; document frequencies of its terms are counted over all passages
     of all documents (runs of ``stride`` words).
-2.  A randomised SVD of the TF-IDF passages (all items, and document passages) gives
-    ``rank`` latent directions: ``power`` rounds of subspace iteration with ``EXTRA``
-    more columns on one matrix, in which items weigh as much as the sample, and a
-    Rayleigh-Ritz step.  Tasks return A'AQ of their passages, the driver makes these
-    sums orthogonal.  This index alone is fitted on a bounded sample, about ``sample``
-    documents with the smallest hashes of their ids.
+2.  A randomised SVD of the TF-IDF passages (all items, and all passages of all documents)
+    gives ``rank`` latent directions: ``power`` rounds of subspace iteration with ``EXTRA``
+    more columns on one matrix, in which items weigh as much as the documents, and a
+    Rayleigh-Ritz step.  One pass over the documents sums A'A, an entry for each two terms
+    that share a passage, in tasks and on the cluster; each round multiplies these sums
+    in tasks, the driver makes the products orthogonal.
 3.  Items are indexed by passages of ``2 * stride`` words as well.  Every passage of
     every document (``2 * stride`` words, from each ``stride`` on) is compared with every
     item passage by cosine in the latent space, in blocks of a matrix product; pairs
@@ -20,8 +20,8 @@
     word.
 
 Items are taken in blocks of about ``BLOCK``, each with an index of its own; documents are
-read twice, for frequencies and for the search, however many blocks there are.  A task
-holds all items, some 3 KB each.
+read three times, for frequencies, for A'A and for the search, however many blocks there
+are.  A task holds all items, some 3 KB each, and up to some ``3 * PAIRS`` entries of A'A a block.
 Null and empty texts match nothing, an item without words is never matched, items with
 equal texts are all reported, and rows with equal ids are reported together.
 """
@@ -41,6 +41,7 @@ from .text import Table, Words, buffers, lean, slices
 
 BLOCK = 4096
 EXTRA = 16
+PAIRS = 1 << 20
 _FOLD = bytearray(range(256))
 for _c in range(128):
     _FOLD[_c] = _c if chr(_c).isalnum() else 32
@@ -144,11 +145,8 @@ class Items:
 
     def gram(self, row: np.ndarray, term: np.ndarray, n: int, q: np.ndarray) -> np.ndarray:
         """A'A times ``q`` for rows of unit length."""
-        key, count = np.unique(row * len(self.vocabulary) + term, return_counts=True)
-        row, term = key // len(self.vocabulary), key % len(self.vocabulary)
-        value = count * self.idf[term]
-        norm = np.sqrt(np.bincount(row, weights=value * value, minlength=n))
-        value = (value / np.maximum(norm[row], 1e-12)).astype(np.float32)
+        row, term, value = _entries(row, term, n, self.idf)
+        value = value.astype(np.float32)
         y = row_sums(row, term, n, q, value)
         order = np.argsort(term, kind="stable")
         out = np.zeros(q.shape, np.float64)
@@ -265,40 +263,94 @@ def frequencies(texts: DataFrame, blocks: list, stride: int) -> list[tuple[np.nd
     return list(zip(out, total))
 
 
-def _products(texts: DataFrame, sent, q, stride: int) -> tuple[np.ndarray, int]:
-    """(A'AQ over the passages of ``texts``, summed by term on the cluster; number of passages)."""
+def _entries(row: np.ndarray, term: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, value) of each distinct (row, term), sorted; rows have unit length."""
+    key, count = np.unique(row * len(idf) + term, return_counts=True)
+    row, term = key // max(1, len(idf)), key % max(1, len(idf))
+    value = count * idf[term]
+    return row, term, value / np.maximum(np.sqrt(np.bincount(row, weights=value * value, minlength=n))[row], 1e-12)
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, total, passages = sent.value, np.zeros(q.value.shape), 0
+
+def _summed(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their sums."""
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[start], np.add.reduceat(x[order], start) if len(start) else x
+
+
+def products(texts: DataFrame, blocks: list, stride: int) -> DataFrame:
+    """A'A over the passages of all ``texts``, written: (block, i, j, x) of terms that share a passage, either way round; (block, -1, -1, number of passages)."""
+
+    def batch(k: int, key: np.ndarray, x: np.ndarray, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k)), pa.array(key // size), pa.array(key % size), pa.array(x)], names=["block", "i", "j", "x"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, passages = [[(np.zeros(0, np.int64), np.zeros(0))] for _ in blocks], 0
         for b in batches:
             data, at = buffers(b.column(0))
             for i, j in slices(at, 1 << 19):
                 w = words_of(data, at[i : j + 1])
                 block, n = _blocks(w, stride)
-                term = items.terms(w.hash)
-                inside = term >= 0
-                total += items.gram(block[inside], term[inside], n, q.value)
                 passages += n
-        some = np.flatnonzero(total.any(1))
-        i, j, x = np.repeat(some, total.shape[1]), np.tile(np.arange(total.shape[1]), len(some)), total[some].ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, 0)), pa.array(np.append(x, float(passages)))], names=["i", "j", "x"])
+                for k, sent in enumerate(blocks):
+                    size, term = len(sent.value.vocabulary), sent.value.terms(w.hash)
+                    inside = term >= 0
+                    row, term, value = _entries(block[inside], term[inside], n, sent.value.idf)
+                    # each entry with itself and those after it in its row
+                    many = np.searchsorted(row, row, "right") - np.arange(len(row))
+                    one = np.repeat(np.arange(len(row)), many)
+                    two = one + np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
+                    sums[k].append((term[one] * size + term[two], value[one] * value[two]))
+                    if sum(len(key) for key, _ in sums[k][1:]) > max(PAIRS, len(sums[k][0][0])):
+                        sums[k] = [_summed(*map(np.concatenate, zip(*sums[k])))]
+                        if len(sums[k][0][0]) > 2 * PAIRS:
+                            yield batch(k, *sums[k].pop(), size)
+                            sums[k] = [(np.zeros(0, np.int64), np.zeros(0))]
+        for k, sent in enumerate(blocks):
+            yield batch(k, *_summed(*map(np.concatenate, zip(*sums[k]))), len(sent.value.vocabulary))
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([-1]), pa.array([-1]), pa.array([float(passages)])], names=["block", "i", "j", "x"])
+
+    half = texts.mapInArrow(lean(pairs), "block long, i long, j long, x double").groupBy("block", "i", "j").agg(F.sum("x").alias("x"))
+    ways = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    both = half.select("block", "x", F.explode(ways).alias("at")).select("block", "at.i", "at.j", "x")
+    return saved(both.repartition("block", "i"), shared_dir(texts.sparkSession))
 
-    out = np.zeros(q.value.shape)
-    got = texts.mapInArrow(lean(multiply), "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()  # vocabulary x (rank + EXTRA) numbers
-    i, j, x = (got.column(c).to_numpy() for c in "ijx")
-    out[i[i >= 0], j[i >= 0]] = x[i >= 0]
-    return out, int(x[i < 0].sum())
 
+def _times(pairs: DataFrame, q: np.ndarray) -> np.ndarray:
+    """The written product (i, j, x), both ways round, times ``q``: summed by term in each task, and over the tasks' rows."""
+    sent = pairs.sparkSession.sparkContext.broadcast(q)
 
-def latent_basis(items: Items, part: DataFrame, stride: int, rank: int, power: int) -> np.ndarray:
-    """Leading directions of the passages of ``part`` and, with the same weight in all, of the items."""
-    sc, size = part.sparkSession.sparkContext, len(items.vocabulary)
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        out = np.zeros(q.shape)
+        for b in batches:
+            i, j, x = (b.column(c).to_numpy() for c in range(3))
+            order = np.argsort(i, kind="stable")
+            for lo in range(0, len(order), 1 << 13):
+                o = order[lo : lo + (1 << 13)]
+                start = np.flatnonzero(np.diff(i[o], prepend=-1))
+                out[i[o][start]] += np.add.reduceat(q[j[o]] * x[o, None], start, axis=0)
+        some = np.flatnonzero(out.any(1))
+        for lo in range(0, len(some), 1024):
+            own = some[lo : lo + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([r.tobytes() for r in out[own]], pa.binary())], names=["i", "row"])
+
+    out = np.zeros(q.shape)
+    for b in pairs.mapInArrow(lean(multiply), "i long, row binary").toArrow().to_batches():  # vocabulary x (rank + EXTRA) numbers, hardly a term from two tasks
+        out[b.column(0).to_numpy()] += np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(b.num_rows, q.shape[1])
+    sent.unpersist()
+    return out
+
+
+def basis_of(items: Items, found: DataFrame, rank: int, power: int) -> np.ndarray:
+    """Leading directions of passages with the written products ``found`` (i, j, x) and, with the same weight in all, of the items."""
+    size = len(items.vocabulary)
     row, term = items.rows()
     q = np.linalg.qr(np.random.default_rng(0).normal(size=(size, min(rank + EXTRA, size))))[0]
-    sent = sc.broadcast(items)
+    passages, pairs = found.where("i < 0").agg(F.sum("x")).head()[0] or 0, found.where("i >= 0").select("i", "j", "x")
     for k in range(power + 1):
-        y, passages = _products(part, sent, sc.broadcast(q.astype(np.float32)), stride)
-        y += items.gram(row, term, len(items.passages), q.astype(np.float32)) * max(1, passages) / len(items.passages)
+        y = _times(pairs, q) + items.gram(row, term, len(items.passages), q.astype(np.float32)) * max(1, passages) / len(items.passages)
         if k < power:
             q, _ = np.linalg.qr(y)
     h = q.T @ y
@@ -306,9 +358,14 @@ def latent_basis(items: Items, part: DataFrame, stride: int, rank: int, power: i
     return q @ turn[:, ::-1][:, :rank]
 
 
+def latent_basis(items: Items, texts: DataFrame, stride: int, rank: int, power: int) -> np.ndarray:
+    """Leading directions of all passages of ``texts`` and, with the same weight in all, of the items."""
+    return basis_of(items, products(texts, [texts.sparkSession.sparkContext.broadcast(items)], stride), rank, power)
+
+
 def contaminated(
     df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str = "answer",
-    stride: int = 24, rank: int = 128, power: int = 3, sample: int = 4000, cosine: float = 0.6, coverage: float = 0.8, paraphrase: float = 0.6, answer_words: int = 5,
+    stride: int = 24, rank: int = 128, power: int = 3, cosine: float = 0.6, coverage: float = 0.8, paraphrase: float = 0.6, answer_words: int = 5,
 ) -> DataFrame:
     """One row for each (document, item) found: key, item, cosine, common_words, item_words, coverage, answer_found, start_word, end_word."""
     spark = df.sparkSession
@@ -323,7 +380,7 @@ def contaminated(
     lists = [(kept if part is None else kept.where(F.col("part") == part)).select("item", "text", "answer").orderBy("item", "text").collect() for part in bounds]
     every = [Items([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], stride, answer_words) for rows in lists if rows]
     every = [items for items in every if len(items.vocabulary)]
-    out = _search(texts, every, stride, rank, power, sample, cosine, coverage, paraphrase) if every else spark.createDataFrame([], _FOUND)
+    out = _search(texts, every, stride, rank, power, cosine, coverage, paraphrase) if every else spark.createDataFrame([], _FOUND)
     best = out.groupBy("key", "item").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("key", "item")]), F.struct("common_words", "cosine", -F.col("start_word"))).alias("b"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), "b.*")
 
@@ -331,15 +388,14 @@ def contaminated(
 _FOUND = "key long, item long, cosine double, common_words int, item_words int, coverage double, answer_found boolean, start_word int, end_word int"
 
 
-def _search(texts: DataFrame, every: list[Items], stride: int, rank: int, power: int, sample: int, cosine: float, coverage: float, paraphrase: float) -> DataFrame:
+def _search(texts: DataFrame, every: list[Items], stride: int, rank: int, power: int, cosine: float, coverage: float, paraphrase: float) -> DataFrame:
     spark = texts.sparkSession
-    sc, documents = spark.sparkContext, texts.count()
+    sc = spark.sparkContext
     for items, (frequency, passages) in zip(every, frequencies(texts.select("text"), [sc.broadcast(items) for items in every], stride)):
         items.weigh(frequency, passages)
-    chosen = F.pmod(F.xxhash64(F.coalesce(F.col("key"), F.lit(0)), F.when(F.col("key").isNull(), F.xxhash64("text"))), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / max(1, documents))))
-    part = saved(texts.where(chosen).select("text"), shared_dir(spark))
-    for items in every:
-        items.index(latent_basis(items, part, stride, rank, power))
+    found = products(texts.select("text"), [sc.broadcast(items) for items in every], stride)
+    for k, items in enumerate(every):
+        items.index(basis_of(items, found.where(F.col("block") == k).drop("block"), rank, power))
     sent = [sc.broadcast(items) for items in every]
 
     def find(b: pa.RecordBatch, i: int, w: Words) -> Iterator[pa.RecordBatch]:

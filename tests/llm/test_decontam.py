@@ -149,3 +149,42 @@ def test_repeated_and_null_ids(spark, tmp_path):
     d.write.parquet(f"{tmp_path}/documents.parquet")
     bench(spark, [(7, ITEM, 1), (7, ITEM, 2)]).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted((r.doc_id, r.item_id) for r in op4_decontamination(spark, str(tmp_path)).collect() if r.doc_id) == [(5, 7)]
+
+
+def test_products_and_basis_take_all_documents(spark, monkeypatch):
+    """The index of many documents is that of all their passages, and sums written in between add up."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    terms = [f"term{i}" for i in range(40)]
+    item = " ".join(terms)
+    texts = [" ".join(rng.choices(terms[:25] if i % 2 else terms[15:], k=24)) for i in range(6000)]
+    documents = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(6000, item)], "doc_id long, text string")
+    indexed, index = [], decontam.Items.index
+    monkeypatch.setattr(decontam.Items, "index", lambda self, basis: (indexed.append((self, basis)), index(self, basis))[1])
+    decontam.contaminated(documents, bench(spark, [(7, item, 1)]), rank=2, power=8).collect()
+    ((own, basis),) = indexed
+
+    def dense(rows):
+        a = np.zeros((len(rows), len(own.vocabulary)))
+        for i, r in enumerate(rows):
+            for t in r:
+                a[i, t] += own.idf[t]
+        return a / np.linalg.norm(a, axis=1, keepdims=True)
+
+    w = decontam.words_of(*decontam.buffers(pa.array(texts + [item])))
+    words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(6001)]
+    s = dense([own.terms(x[k : k + 24]) for x in words for k in range(0, len(x), 24)])
+    b = dense([own.number[i][a : a + 48] for i, a in own.passages])
+    exact = np.linalg.eigh(s.T @ s + b.T @ b * len(s) / len(b))[1][:, ::-1][:, :2]
+    assert np.linalg.svd(basis.T @ exact)[1].min() > 1 - 1e-6
+
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    found = decontam.products(documents.select("text"), [spark.sparkContext.broadcast(own)], 24).collect()
+    got = np.zeros((len(own.vocabulary),) * 2)
+    for r in found:
+        if r.i >= 0:
+            got[r.i, r.j] += r.x
+    assert len({(r.i, r.j) for r in found}) == len(found) and [r.x for r in found if r.i < 0] == [len(s)]
+    assert np.allclose(got, s.T @ s)
