@@ -35,7 +35,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), likelihoods=False)
     return toxicity.filter_toxic(docs, model)
 
 

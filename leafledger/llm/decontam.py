@@ -21,7 +21,7 @@
 
 Items are taken in blocks of about ``BLOCK``, each with an index of its own; documents are
 read three times, for frequencies, for A'A and for the search, however many blocks there
-are.  A task holds all items, some 3 KB each, and up to some ``3 * PAIRS`` entries of A'A a block.
+are.  A task holds all items, some 3 KB each, and up to ``16 * PAIRS`` entries of A'A a block.
 Null and empty texts match nothing, an item without words is never matched, items with
 equal texts are all reported, and rows with equal ids are reported together.
 """
@@ -287,6 +287,8 @@ def products(texts: DataFrame, blocks: list, stride: int) -> DataFrame:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, passages = [[(np.zeros(0, np.int64), np.zeros(0))] for _ in blocks], 0
+        # few terms: a place for each pair
+        whole = [np.zeros(size * size) if (size := len(sent.value.vocabulary)) ** 2 <= 16 * PAIRS else None for sent in blocks]
         for b in batches:
             data, at = buffers(b.column(0))
             for i, j in slices(at, 1 << 19):
@@ -301,14 +303,20 @@ def products(texts: DataFrame, blocks: list, stride: int) -> DataFrame:
                     many = np.searchsorted(row, row, "right") - np.arange(len(row))
                     one = np.repeat(np.arange(len(row)), many)
                     two = one + np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
-                    sums[k].append((term[one] * size + term[two], value[one] * value[two]))
+                    key, x = term[one] * size + term[two], value[one] * value[two]
+                    if whole[k] is not None:
+                        np.add.at(whole[k], key, x)
+                        continue
+                    sums[k].append((key, x))
                     if sum(len(key) for key, _ in sums[k][1:]) > max(PAIRS, len(sums[k][0][0])):
                         sums[k] = [_summed(*map(np.concatenate, zip(*sums[k])))]
                         if len(sums[k][0][0]) > 2 * PAIRS:
                             yield batch(k, *sums[k].pop(), size)
                             sums[k] = [(np.zeros(0, np.int64), np.zeros(0))]
         for k, sent in enumerate(blocks):
-            yield batch(k, *_summed(*map(np.concatenate, zip(*sums[k]))), len(sent.value.vocabulary))
+            key, x = _summed(*map(np.concatenate, zip(*sums[k]))) if whole[k] is None else ((some := np.flatnonzero(whole[k])), whole[k][some])
+            for lo in range(0, len(key), PAIRS):
+                yield batch(k, key[lo : lo + PAIRS], x[lo : lo + PAIRS], len(sent.value.vocabulary))
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([-1]), pa.array([-1]), pa.array([float(passages)])], names=["block", "i", "j", "x"])
 
     half = texts.mapInArrow(lean(pairs), "block long, i long, j long, x double").groupBy("block", "i", "j").agg(F.sum("x").alias("x"))

@@ -135,12 +135,12 @@ class Words:
 
 
 class Table:
-    """Open-addressing map from 64-bit keys to float32."""
+    """Open-addressing map from 64-bit keys to numbers."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(10, int(np.ceil(np.log2(max(1, len(keys)) * 2.2))))
         self.mask = (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, 2**64 - 1, np.uint64), np.zeros(1 << bits, np.float32)
+        self.keys, self.values = np.full(1 << bits, 2**64 - 1, np.uint64), np.zeros(1 << bits, values.dtype)
         slot, rest = self._slot(keys), np.arange(len(keys))
         while len(rest):
             free = rest[self.keys[slot[rest]] == np.uint64(2**64 - 1)]
@@ -167,7 +167,7 @@ class Table:
             hit = here == keys[rest]
             found[rest[hit]] = True
             rest = rest[~hit & (here != np.uint64(2**64 - 1))]
-        return np.where(found, self.values[slot], np.float32(0))
+        return np.where(found, self.values[slot], self.values.dtype.type(0))
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

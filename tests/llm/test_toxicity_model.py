@@ -114,3 +114,41 @@ def test_repeated_ids_and_labels(spark):
         models.append(tox.train(d, spark.createDataFrame(labels, "doc_id long, toxic int").repartition(n)))
     a, b = models
     assert np.allclose(a.toxic, b.toxic) and np.allclose(a.ordinary, b.ordinary) and abs(a.slope - b.slope) < 1e-9
+
+
+def test_cluster_fit_equals_plain_kneser_ney(spark):
+    """Every order made on the cluster against plain dictionaries; without likelihoods the evidence is the same."""
+    texts = [(t, 1, i % tox.FOLDS) for i, t in enumerate(TOXIC * 9)] + [(t, 0, i % tox.FOLDS) for i, t in enumerate(ORDINARY * 9)]
+    rows = spark.createDataFrame(texts, "text string, toxic int, fold int")
+    whole, small = tox.fit(rows, 0.3), tox.fit(rows, 0.3, likelihoods=False)
+    toxic, ordinary = count(TOXIC * 9), count(ORDINARY * 9)
+    log = plain(toxic, ordinary, len(TOXIC) / (len(TOXIC) + len(ORDINARY)))
+    known = whole.grams.get(np.array([number(g) | len(g) << 48 for g in log], np.uint64))
+    assert len(whole.toxic) == len(log) + 1 and (known > 0).all()
+    assert np.allclose(whole.toxic[known], [a for a, _ in log.values()]) and np.allclose(whole.ordinary[known], [b for _, b in log.values()])
+    assert len(small.toxic) < len(whole.toxic)
+    column = pa.array(TOXIC + ORDINARY + ["something not seen at all: zzgrim QXJ"])
+    (_, a), (_, b) = *whole.evidence(column), *small.evidence(column)
+    assert np.allclose(a, b) and abs(a).max() > 0.1 and abs(whole.slope - small.slope) < 1e-9
+    # the curve from means against the curve from single rows
+    own = [(t, y, f) for t, y, f in texts]
+    seen = []
+    for t, y, f in own:
+        left = [x for x in own if x[2] != f]
+        c = [count([u for u, z, _ in left if z == want]) for want in (1, 0)]
+        grams_ = sorted(set(c[0]) | set(c[1]))
+        share = sum(z for _, z, _ in left) / len(left)
+        model = tox.Model(np.array([number(g) | len(g) << 48 for g in grams_], np.uint64), np.array([c[0][g] for g in grams_]), np.array([c[1][g] for g in grams_]), share)
+        seen.append(next(e for _, e in model.evidence(pa.array([t])))[0])
+    seen = np.array(seen)
+    exact = tox.Model.of(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0)
+    exact.calibrate(seen, np.array([y for _, y, _ in own]), np.ones(len(own)), float(seen.std()), 0.3)
+    assert abs(exact.slope - whole.slope) < 1e-3 * abs(exact.slope) and abs(exact.bias - whole.bias) < 1e-3 * max(1, abs(exact.bias))
+
+
+def test_all_labelled_rows_are_used(spark):
+    texts = [f"{i:05d}" for i in range(4500)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = tox.train(rows, spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(4500)], "doc_id long, toxic int"))
+    held = {r.doc_id for r in rows.where(tox.held_out()).collect()}
+    assert len(held) < 1200 and all((model.grams.get(np.array([number(t.encode()) | tox.ORDER << 48], np.uint64)) > 0).all() for i, t in enumerate(texts) if i not in held)
