@@ -16,8 +16,9 @@ model.  Their difference is its evidence; a logistic curve, fitted on evidence t
 of ``FOLDS`` folds of the training rows gets from the others' counts, turns it into a score.
 
 All labelled ids are used for fitting, with one text each; every row is scored on its
-whole text.  Labels, language, source and id are no input of a score.  Counts and models
-are made order by order on the cluster.  The driver and every task get the n-grams whose
+whole text.  Labels, language, source and id are no input of a score.  Counts, and
+models of orders above ``LOW``, are made on the cluster; the driver gets the counts of shorter
+n-grams (24 bits at most).  The driver and every task get the n-grams whose
 log ratio is not that of their end, which are all that evidence needs, and, for
 likelihoods, those of no other use as well: each distinct n-gram of the training texts,
 some 40 bytes.
@@ -42,6 +43,7 @@ from .store import saved, shared_dir
 from .text import LOWER, SPACE, Table, buffers, lean, slices
 
 ORDER = 5
+LOW = 3
 DISCOUNT = 0.75
 CAUTION = 2.0
 LEAST = -1.0
@@ -86,29 +88,36 @@ def _discounted(grams: np.ndarray, counts: np.ndarray, base: np.ndarray) -> np.n
     return np.log(np.maximum(counts - DISCOUNT, 0) / np.maximum(total[context], 1) + left[context] * np.exp(base))
 
 
+def _orders(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, share: float, most: int = ORDER, longer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pooled log-probability, log ratio and that of its end for sorted n-grams of orders up to ``most``; ``longer``: continuations of those of order ``most``, if there are any."""
+    at = np.searchsorted(grams, [np.uint64(k << _BITS) for k in range(1, most + 2)])
+    pooled, ratio, lesser = np.zeros(len(grams)), np.zeros(len(grams)), np.zeros(len(grams))
+    for k in range(1, most + 1):
+        own = slice(at[k - 1], at[k])
+        u, t, o = grams[own], toxic[own], ordinary[own]
+        if k == 1:
+            base, less = np.full(len(u), _UNKNOWN), np.zeros(len(u))
+        else:
+            lower = at[k - 2] + np.searchsorted(grams[at[k - 2] : at[k - 1]], _end(u, k - 1))
+            base, less = pooled[lower], ratio[lower]
+        many = np.unique(_end(grams[at[k] : at[k + 1]], k), return_counts=True)[1] if k < most else t + o if longer is None else longer
+        base_o = base - np.log(share * np.exp(less) + 1 - share)
+        pooled[own] = _discounted(u, many, base)
+        step = _discounted(u, t, base_o + less) - _discounted(u, o, base_o) - less
+        error = np.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))
+        ratio[own] = np.maximum(LEAST, less + np.sign(step) * np.maximum(0, np.abs(step) - CAUTION * error))
+        lesser[own] = less
+    return pooled, ratio, lesser
+
+
 class Model:
     """Log-probabilities of known n-grams of all orders in both classes."""
 
     def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, share: float):
         """Distinct n-grams of all orders (see ``_end``) with the numbers of documents of either class that have them; ``share`` of these is toxic."""
         order = np.argsort(grams)
-        grams, toxic, ordinary = grams[order], toxic[order].astype(float), ordinary[order].astype(float)
-        at = np.searchsorted(grams, [np.uint64(k << _BITS) for k in range(1, ORDER + 2)])
-        pooled, ratio = np.zeros(len(grams)), np.zeros(len(grams))
-        for k in range(1, ORDER + 1):
-            own = slice(at[k - 1], at[k])
-            u, t, o = grams[own], toxic[own], ordinary[own]
-            if k == 1:
-                base, less = np.full(len(u), _UNKNOWN), np.zeros(len(u))
-            else:
-                lower = at[k - 2] + np.searchsorted(grams[at[k - 2] : at[k - 1]], _end(u, k - 1))
-                base, less = pooled[lower], ratio[lower]
-            longer = np.unique(_end(grams[at[k] : at[k + 1]], k), return_counts=True)[1] if k < ORDER else t + o
-            base_o = base - np.log(share * np.exp(less) + 1 - share)
-            pooled[own] = _discounted(u, longer, base)
-            step = _discounted(u, t, base_o + less) - _discounted(u, o, base_o) - less
-            error = np.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))
-            ratio[own] = np.maximum(LEAST, less + np.sign(step) * np.maximum(0, np.abs(step) - CAUTION * error))
+        grams = grams[order]
+        pooled, ratio, _ = _orders(grams, toxic[order].astype(float), ordinary[order].astype(float), share)
         # the pooled probability is the mean of both classes' by their shares
         log_o = pooled - np.log(share * np.exp(ratio) + 1 - share)
         self._take(grams, log_o + ratio, log_o, _UNKNOWN)
@@ -207,7 +216,7 @@ def _batch(tags: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def levels(counts: DataFrame, variants: list[tuple[int, int | None, float]], folder: str) -> DataFrame:
-    """The models of ``Model``, order by order on the cluster: (model, gram, pooled, ratio, less), with ``less`` the ratio of its end.
+    """The models of ``Model``, orders above ``LOW`` one by one on the cluster: (model, gram, pooled, ratio, less), with ``less`` the ratio of its end.
 
     ``counts`` has (gram, t, o), documents of either class by fold; ``variants`` are (model, fold left out or None, share of toxic rows).
     """
@@ -231,19 +240,27 @@ def levels(counts: DataFrame, variants: list[tuple[int, int | None, float]], fol
         left = F.when(t > 0, DISCOUNT * d / F.greatest(t, F.lit(1.0))).otherwise(1.0)
         return F.log(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(t, F.lit(1.0)) + left * F.exp(base))
 
-    done: list[DataFrame] = []
-    for k in range(1, ORDER + 1):
+    # of short n-grams there are few: the driver takes their counts
+    low = counts.where(F.shiftright("gram", _BITS) <= LOW).orderBy("gram").toArrow()
+    gram, t, o = low.column("gram").to_numpy().view(np.uint64), *(low.column(c).combine_chunks().flatten().to_numpy().reshape(-1, FOLDS).astype(float) for c in "to")
+    longer = of(LOW + 1).groupBy("model", end(LOW).alias("gram")).agg(F.count("*").alias("n")).orderBy("model", "gram").toArrow()
+    parts = []
+    for m, f, share in variants:
+        own_t, own_o = (c.sum(1) - (0 if f is None else c[:, f]) for c in (t, o))
+        some = own_t + own_o > 0
+        many = longer.column("n").to_numpy()[longer.column("model").to_numpy() == m].astype(float)
+        got = _orders(gram[some], own_t[some], own_o[some], share, LOW, many)
+        parts.append(pa.table([pa.array(np.full(some.sum(), m, np.int32)), pa.array(gram[some].view(np.int64)), pa.array(np.full(some.sum(), share)), *map(pa.array, got)], names=["model", "gram", "share", "pooled", "ratio", "less"]))
+    done = [saved(counts.sparkSession.createDataFrame(pa.concat_tables(parts)), f"{folder}/low")]
+    for k in range(LOW + 1, ORDER + 1):
         own = of(k)
         if k < ORDER:
             longer = of(k + 1).groupBy("model", end(k).alias("gram")).agg(F.count("*").cast("double").alias("longer"))
             own = own.join(longer, ["model", "gram"])
         else:
             own = own.withColumn("longer", F.col("t") + F.col("o"))
-        if k == 1:
-            own = own.withColumns({"base": F.lit(_UNKNOWN), "less": F.lit(0.0)})
-        else:
-            lower = done[-1].select("model", F.col("gram").alias("end"), F.col("pooled").alias("base"), F.col("ratio").alias("less"))
-            own = own.withColumn("end", end(k - 1)).join(lower, ["model", "end"]).drop("end")
+        lower = done[-1].select("model", F.col("gram").alias("end"), F.col("pooled").alias("base"), F.col("ratio").alias("less"))
+        own = own.withColumn("end", end(k - 1)).join(lower, ["model", "end"]).drop("end")
         own = own.withColumns({f"{c}_{name}": F.sum(x).over(context) for c in ("longer", "t", "o") for name, x in (("sum", F.col(c)), ("some", (F.col(c) > 0).cast("double")))})
         own = own.withColumn("base_o", F.col("base") - F.log(F.col("share") * F.exp("less") + 1 - F.col("share")))
         own = own.withColumn("step", discounted("t", F.col("base_o") + F.col("less")) - discounted("o", F.col("base_o")) - F.col("less"))
