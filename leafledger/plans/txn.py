@@ -13,12 +13,11 @@ from .replay import known
 
 def _touched(actions: DataFrame, base: DataFrame) -> DataFrame:
     """(key, action, value, line): the last SET or DELETE of each key; renames read through to the base."""
-    from .replay import expand_renames, snapshot_entries
+    from .replay import last_entries, snapshot_entries
 
     old = actions.where("action = 'RENAME'").select(F.col("old_key").alias("key")).distinct()
     start = snapshot_entries(base.select("key", "value").join(old, "key", "left_semi"), -1)
-    fold = expand_renames(start.unionByName(actions.select(*start.columns)))
-    return fold.where("line >= 0").groupBy("key").agg(F.max_by(F.struct("action", "value", "line"), "line").alias("e")).select("key", "e.*")
+    return last_entries(start.unionByName(actions.select(*start.columns))).where("line >= 0")
 
 
 def overlay(base: DataFrame, actions: DataFrame) -> DataFrame:

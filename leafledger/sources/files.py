@@ -35,10 +35,10 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
-def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` written to the working folder and read again, which cuts its lineage."""
-    folder = work_dir(spark)
-    df.write.parquet(folder)
+def kept(spark: SparkSession, df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written to the working folder and read again, which cuts its lineage; with ``folder``, after the rows that it has."""
+    folder = folder or work_dir(spark)
+    df.write.mode("append").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
